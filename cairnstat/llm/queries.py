@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnstat.functions.normal import quantile_sql
 from cairnstat.llm.fusion import fused_ranking
+from cairnstat.llm.mixing import Mixture, mix
+from cairnstat.llm.packing import pack, packing_report
+from cairnstat.llm.tokens import token_counts
 from cairnstat.llm.topn import top_n
 from cairnstat.operators.current import current_rows
 from cairnstat.session import materialize
@@ -47,6 +50,45 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(ranked, ["grp"], "combined", ["feature"], LEADERS).select("grp", "feature")
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's size in tokens, counted once and kept."""
+    return materialize(token_counts(table(spark, d, "documents"), "doc_id", "text", keep=["source"]))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of each piece of one that exceeds a container."""
+    return pack(_sizes(spark, d), "doc_id", "n_tokens")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the fewest possible, and the share of room left unused."""
+    return packing_report(p6_packed(spark, d), "n_tokens")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that the packing had to split."""
+    return p6_packed(spark, d).groupBy("doc_id").agg(F.count("*").alias("pieces")).filter("pieces > 1").select("doc_id")
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return mix(_sizes(spark, d), "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: which tokens of which document stand in each slot of each shard."""
+    return _mixture(spark, d).rows
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share, tokens and repetitions of every source."""
+    return _mixture(spark, d).shares
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sources that stay below their target with all their repetitions."""
+    return p7_shares(spark, d).filter("short and actual_share < target_share").select("source")
+
+
 _P1 = """WITH now AS (SELECT first, second, feature, m.e AS effect FROM (
   SELECT first, second, feature, arg_max({'e': effect}, loaded_at) AS m FROM pair_stats WHERE first <> '' GROUP BY ALL)),
 r AS (SELECT first, second, feature, effect, row_number() OVER (PARTITION BY first ORDER BY effect DESC, feature_idx, second) AS place
@@ -59,7 +101,11 @@ q AS (SELECT *, (rank() OVER w - 1 + count(*) OVER (PARTITION BY grp, i, v) / 2.
   FROM l WHERE v IS NOT NULL WINDOW w AS (PARTITION BY grp, i ORDER BY v)),
 z AS (SELECT grp, feature, avg({quantile_sql('q')}) AS combined, count(*) AS n_scores FROM q GROUP BY grp, feature)"""
 
-QUERIES = {"p1_found": p1_found, "p1_top_effects": p1_top_effects, "p2_found": p2_found, "p2_ranking": p2_ranking}
+QUERIES = {
+    "p1_found": p1_found, "p1_top_effects": p1_top_effects, "p2_found": p2_found, "p2_ranking": p2_ranking,
+    "p6_found": p6_found, "p6_packed": p6_packed, "p6_report": p6_report,
+    "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+}
 SQL = {
     "p1_found": f"{_P1} SELECT first, second, feature FROM r WHERE place <= {TOP_PER_GROUP}",
     "p1_top_effects": f"{_P1} SELECT first, second, feature, effect, CAST(place AS INT) AS place FROM r WHERE place <= {TOP_PER_GROUP}",
