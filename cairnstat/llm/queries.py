@@ -10,6 +10,7 @@ from cairnstat.llm.mixing import Mixture, mix
 from cairnstat.llm.packing import pack, packing_report
 from cairnstat.llm.tokens import token_counts
 from cairnstat.llm.topn import top_n
+from cairnstat.llm.toxicity import score_documents, source_rates
 from cairnstat.operators.current import current_rows
 from cairnstat.session import materialize
 from cairnstat.sources import table
@@ -89,6 +90,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_shares(spark, d).filter("short and actual_share < target_share").select("source")
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return score_documents(table(spark, d, "documents"), "doc_id", "text", keep=["source"])
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The abuse score of every document."""
+    return _scored(spark, d).select("doc_id", F.round("score", 6).alias("score"), "flagged")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of flagged documents per source."""
+    return source_rates(_scored(spark, d), "source")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents scored as abusive, hateful or sexual."""
+    return _scored(spark, d).filter("flagged").select("doc_id")
+
+
 _P1 = """WITH now AS (SELECT first, second, feature, m.e AS effect FROM (
   SELECT first, second, feature, arg_max({'e': effect}, loaded_at) AS m FROM pair_stats WHERE first <> '' GROUP BY ALL)),
 r AS (SELECT first, second, feature, effect, row_number() OVER (PARTITION BY first ORDER BY effect DESC, feature_idx, second) AS place
@@ -105,6 +125,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_top_effects": p1_top_effects, "p2_found": p2_found, "p2_ranking": p2_ranking,
     "p6_found": p6_found, "p6_packed": p6_packed, "p6_report": p6_report,
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 SQL = {
     "p1_found": f"{_P1} SELECT first, second, feature FROM r WHERE place <= {TOP_PER_GROUP}",
