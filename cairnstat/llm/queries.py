@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cairnstat.functions.normal import quantile_sql
 from cairnstat.llm.fusion import fused_ranking
 from cairnstat.llm.mixing import Mixture, mix
+from cairnstat.llm.neighbors import close_pairs, nearest, unit_vectors
 from cairnstat.llm.packing import pack, packing_report
 from cairnstat.llm.tokens import token_counts
 from cairnstat.llm.topn import top_n
@@ -51,6 +52,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(ranked, ["grp"], "combined", ["feature"], LEADERS).select("grp", "feature")
 
 
+NEIGHBORS = 5
+CLOSE = 0.97
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(unit_vectors(table(spark, d, "pcs"), "obs", "pc"))
+
+
+def p4_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar observations of every observation whose number is divisible by 20, among all observations."""
+    units = _units(spark, d)
+    near = nearest(units, units.filter("obs % 20 = 0"), NEIGHBORS)
+    return near.select("obs", "neighbor", F.round("similarity", 5).alias("similarity"), "place")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of observations, each among the 5 most similar of the other, with a cosine of at least 0.97."""
+    return close_pairs(_units(spark, d), NEIGHBORS, CLOSE)
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """Every document's size in tokens, counted once and kept."""
     return materialize(token_counts(table(spark, d, "documents"), "doc_id", "text", keep=["source"]))
@@ -123,6 +144,7 @@ z AS (SELECT grp, feature, avg({quantile_sql('q')}) AS combined, count(*) AS n_s
 
 QUERIES = {
     "p1_found": p1_found, "p1_top_effects": p1_top_effects, "p2_found": p2_found, "p2_ranking": p2_ranking,
+    "p4_found": p4_found, "p4_neighbors": p4_neighbors,
     "p6_found": p6_found, "p6_packed": p6_packed, "p6_report": p6_report,
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
