@@ -6,8 +6,11 @@ names in ``spark.checkpoint.dir``, so a lost executor never loses a result.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +41,18 @@ def materialize(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Number of equal splits for work whose partition count is not fixed by the data."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per context, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cairnstat_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix="cairnstat-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(path)
+    sc._cairnstat_shipped = True
