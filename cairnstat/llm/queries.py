@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnstat.functions.normal import quantile_sql
+from cairnstat.llm.clusters import cluster_members, cluster_summary, cluster_vectors
 from cairnstat.llm.fusion import fused_ranking
 from cairnstat.llm.mixing import Mixture, mix
 from cairnstat.llm.neighbors import close_pairs, nearest, unit_vectors
@@ -72,6 +73,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return close_pairs(_units(spark, d), NEIGHBORS, CLOSE)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per observation in a cluster, which is named after its smallest observation."""
+    units = _units(spark, d)
+    return cluster_members(cluster_vectors(units), units)
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every cluster with its size, its mean cosine to the mean, and its most typical members."""
+    out = cluster_summary(cluster_vectors(_units(spark, d)))
+    return out.select("cluster_obs", "size", F.round("mean_fit", 5).alias("mean_fit"), F.array_join("exemplars", " ").alias("exemplars"))
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """Every document's size in tokens, counted once and kept."""
     return materialize(token_counts(table(spark, d, "documents"), "doc_id", "text", keep=["source"]))
@@ -145,6 +158,7 @@ z AS (SELECT grp, feature, avg({quantile_sql('q')}) AS combined, count(*) AS n_s
 QUERIES = {
     "p1_found": p1_found, "p1_top_effects": p1_top_effects, "p2_found": p2_found, "p2_ranking": p2_ranking,
     "p4_found": p4_found, "p4_neighbors": p4_neighbors,
+    "p5_found": p5_found, "p5_clusters": p5_clusters,
     "p6_found": p6_found, "p6_packed": p6_packed, "p6_report": p6_report,
     "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
