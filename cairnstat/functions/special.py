@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 LN2 = math.log(2.0)
 _erfc = np.frompyfunc(math.erfc, 1, 1)
@@ -143,27 +143,27 @@ def _out(x: np.ndarray) -> pd.Series:
     return pd.Series(x).where(~np.isnan(x), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_tail_udf(z: pd.Series) -> pd.Series:
     return _out(log_normal_tail(z))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_tail_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _out(log_t_tail(t, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_tail_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _out(log_f_tail(f, d1, d2))
 
 
-@F.pandas_udf("left double, right double")
+@F.pandas_udf(T.StructType([T.StructField("left", T.DoubleType()), T.StructField("right", T.DoubleType())]))
 def binomial_tails_udf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.DataFrame:
     left, right = log_binomial_tails(k, n, p)
     return pd.DataFrame({"left": _out(left), "right": _out(right)})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def quantile_log_udf(lp: pd.Series) -> pd.Series:
     return _out(normal_quantile_from_log(lp))

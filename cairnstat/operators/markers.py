@@ -145,12 +145,16 @@ def effect_sizes(assay: Assay, lfc: float = 0.0, pairs: list[tuple[str, str]] |
 EFFECTS = ("logfc_cohen", "auc", "logfc_detected")
 
 
+#: Decimals to which effects are compared when ranked, so that rounding errors do not part equal ones.
+RANK_DIGITS = 10
+
+
 def min_rank(effects: DataFrame, effect: str, out: str) -> DataFrame:
     """(grp, feature, out): smallest rank of the feature over a group's comparisons, highest effect first, ties share the lowest rank.
 
     The window runs over the features of one comparison.
     """
-    w = Window.partitionBy("first", "second").orderBy(F.col(effect).desc())
+    w = Window.partitionBy("first", "second").orderBy(F.round(effect, RANK_DIGITS).desc())
     ranked = effects.filter(F.col(effect).isNotNull()).select("first", "feature", F.rank().over(w).alias("__r"))
     return ranked.groupBy(F.col("first").alias("grp"), "feature").agg(F.min("__r").alias(out))
 
@@ -160,7 +164,7 @@ def score_markers(assay: Assay, lfc: float = 0.0, pairs: list[tuple[str, str]] |
     effects = effect_sizes(assay, lfc, pairs)
     ranked = effects
     for e in EFFECTS:
-        w = Window.partitionBy("first", "second", F.col(e).isNotNull()).orderBy(F.col(e).desc())
+        w = Window.partitionBy("first", "second", F.col(e).isNotNull()).orderBy(F.round(e, RANK_DIGITS).desc())
         ranked = ranked.withColumn(f"__r_{e}", F.when(F.col(e).isNotNull(), F.rank().over(w)))
     aggs = []
     for e in EFFECTS:

@@ -45,13 +45,14 @@ def moments(assay: Assay, by: Sequence[str] = ("block",), detection: float = 0.0
     rows = levels(assay.observations, by)
     labelled = assay.values.join(assay.observations.select("obs", *by), "obs")
     part = labelled.groupBy("feature", *by).agg(
-        F.count("value").alias("__k"), F.avg("value").alias("__m"), F.var_pop("value").alias("__v"), F.count_if(F.col("value") > detection).alias("__d")
+        F.count("value").alias("__k"), F.sum("value").alias("__s"), F.var_pop("value").alias("__v"), F.count_if(F.col("value") > detection).alias("__d")
     )
     x = spine(assay.features, by, rows).join(part, ["feature", *by], "left")
-    k, m, n = F.coalesce("__k", F.lit(0)), F.coalesce("__m", F.lit(0.0)), F.col("n")
+    k, total, n = F.coalesce("__k", F.lit(0)), F.coalesce("__s", F.lit(0.0)), F.col("n")
+    m = F.when(k > 0, total / k).otherwise(0.0)
     ss = F.coalesce(F.col("__v") * F.col("__k"), F.lit(0.0))
     return x.select(
-        "feature", *by, "n", (m * k / n).alias("mean"),
+        "feature", *by, "n", (total / n).alias("mean"),
         F.when(n > 1, (ss + m * m * (k / n) * (n - k)) / (n - 1)).alias("variance"),
         F.coalesce("__d", F.lit(0)).alias("detected"),
     )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnstat.plans import general
+from cairnstat.plans import general, marker_queries
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+_PARTS = (general, marker_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["p3_label_totals"](spark, d)
+    return QUERIES["score_markers"](spark, d)
