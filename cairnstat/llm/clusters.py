@@ -33,6 +33,9 @@ SMALLEST = 5
 #: Rows up to which the changes of a level are broadcast (two or three numbers a row, 8 MB at most).
 BROADCAST_ROWS = 200_000
 
+#: Edges up to which the rest of a level is finished in one task instead of by further rounds (40 bytes a row).
+LOCAL_EDGES = 200_000
+
 
 def _strength(similarity: float) -> float:
     """Density at a similarity: the inverse of the distance between unit vectors."""
@@ -73,12 +76,15 @@ def reachability_edges(graph: DataFrame, sizes: DataFrame) -> DataFrame:
 def _rounds(edges: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """Boruvka rounds over (ca, cb, w, a, b): relabelings (c, to) per round, and the tree edges picked."""
     maps, picked = [], []
-    while True:
+    while left := edges.count():
+        if left <= LOCAL_EDGES:
+            done = materialize(_finish(edges))
+            picked.append(done.filter("tree").select(F.col("x").alias("a"), F.col("y").alias("b")))
+            maps.append(done.filter("not tree").select(F.col("x").alias("c"), F.col("y").alias("to")))
+            break
         both = edges.select(F.col("ca").alias("c"), F.col("cb").alias("o"), "w", "a", "b").unionByName(edges.select(F.col("cb").alias("c"), F.col("ca").alias("o"), "w", "a", "b"))
         best = both.groupBy("c").agg(F.min(F.struct((-F.col("w")).alias("s"), F.xxhash64("a", "b").alias("h"), "a", "b", "o")).alias("m")).select("c", F.col("m.o").alias("to"), F.col("m.a").alias("a"), F.col("m.b").alias("b"))
         best = materialize(best)
-        if best.isEmpty():
-            return maps, picked
         picked.append(best.select("a", "b"))
         # two that picked each other: the smaller label is the root
         back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
@@ -92,6 +98,38 @@ def _rounds(edges: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         moved = edges.join(left, "ca", "left").join(right, "cb", "left")
         moved = moved.select(F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb"), "w", "a", "b").filter("ca <> cb")
         edges = materialize(moved)
+    return maps, picked
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """(tree, x, y): the remaining spanning edges (a, b), and where each label ends (c, to), by one union-find over few edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        ca, cb, w, a, b = (np.concatenate([g.column(i).to_numpy() for g in got]) for i in range(5))
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            top = v
+            while up.setdefault(top, top) != top:
+                top = up[top]
+            while up[v] != top:
+                up[v], v = top, up[v]
+            return top
+
+        tree = []
+        for i in np.lexsort((b, a, -w)):
+            p, q = root(int(ca[i])), root(int(cb[i]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                tree.append(i)
+        labels = np.array(list(up), np.int64)
+        ends = np.array([root(int(v)) for v in labels], np.int64)
+        yield pa.RecordBatch.from_pydict({"tree": np.repeat([True, False], [len(tree), len(labels)]), "x": np.concatenate([a[tree], labels]), "y": np.concatenate([b[tree], ends])})
+
+    return edges.select("ca", "cb", "w", "a", "b").coalesce(1).mapInArrow(run, "tree boolean, x bigint, y bigint")
 
 
 def _follow(maps: list[DataFrame], start: DataFrame) -> DataFrame:

@@ -70,7 +70,9 @@ def test_copies_and_small_inputs(spark):
     assert clusters.cluster_members(clusters.cluster_vectors(none, dimension=D), none).count() == 0
 
 
-def test_clusters(spark):
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_clusters(spark, monkeypatch, local):
+    monkeypatch.setattr(clusters, "LOCAL_EDGES", local)
     d = 32
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((6, d))
@@ -101,7 +103,9 @@ def test_clusters(spark):
     assert all(set(r.exemplars) <= got[k] for k, r in summary.items())
 
 
-def test_spanning_forest_matches_kruskal(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_spanning_forest_matches_kruskal(spark, monkeypatch, local):
+    monkeypatch.setattr(clusters, "LOCAL_EDGES", local)
     rng = np.random.default_rng(7)
     n, edges = 60, {}
     for a, b in rng.integers(0, 60, (200, 2)):
