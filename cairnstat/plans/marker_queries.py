@@ -107,13 +107,13 @@ def _scores(df: DataFrame, digits: int) -> DataFrame:
 
 def score_markers(spark: SparkSession, d: str) -> DataFrame:
     """All effects summarised per group and brand, averaged over regions. Counts, so that ties are exact."""
-    return _scores(mk.score_markers(_brand(spark, d)), 5)
+    return _scores(mk.score_markers(_brand(spark, d)), 8)
 
 
 def score_markers_stored(spark: SparkSession, d: str) -> DataFrame:
     """The same on the stored assay, for its eight large groups, all blocks as one."""
     a = assays.stored(spark, d).restrict(GROUPS).relabel()
-    return _scores(mk.score_markers(a), 4)
+    return _scores(mk.score_markers(a), 8)
 
 
 def full_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -333,8 +333,8 @@ SELECT obs, round(size_factor / avg(size_factor) OVER (), 5) AS size_factor,
     "detection_lfc": f"WITH {S.BRAND}, {_M} SELECT {_KEYS}, round({_DET}, 6) AS logfc_detected {_PAIRS}",
     "auc_pairs": f"WITH {S.BRAND}, {_u()} SELECT feature, block, first, second, round(auc, 6) AS auc FROM auc",
     "auc_pairs_lfc": f"WITH {S.BRAND}, {_u(5)} SELECT feature, block, first, second, round(auc, 6) AS auc FROM auc",
-    "score_markers": _score(S.BRAND, 5),
-    "score_markers_stored": _score(S.STORED.replace("o AS (", "o AS (SELECT obs, grp, 'all' AS block FROM (").replace("GROUP BY obs)),", f"GROUP BY obs)) WHERE grp IN ({_G})),"), 4),
+    "score_markers": _score(S.BRAND, 8),
+    "score_markers_stored": _score(S.STORED.replace("o AS (", "o AS (SELECT obs, grp, 'all' AS block FROM (").replace("GROUP BY obs)),", f"GROUP BY obs)) WHERE grp IN ({_G})),"), 8),
     "full_scores": f"WITH {S.BRAND}, {_u()} SELECT first AS grp, feature, second AS other, round(sum(auc * n1 * n2) / sum(n1 * n2), 6) AS auc FROM auc GROUP BY 1, 2, 3",
     "min_rank": """WITH now AS (SELECT first, second, feature, m.e AS effect FROM (
   SELECT first, second, feature, arg_max({'e': effect}, loaded_at) AS m FROM pair_stats WHERE first <> '' GROUP BY ALL)),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnstat.plans import general, marker_queries
+from cairnstat.plans import analysis_queries, general, marker_queries
 
-_PARTS = (general, marker_queries)
+_PARTS = (general, marker_queries, analysis_queries)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
 

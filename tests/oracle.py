@@ -9,7 +9,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def _key(row):
-    return tuple("\0" if v is None else repr(round(v, 5) + 0.0) if isinstance(v, float) and not math.isnan(v) else str(v) for v in row)
+    return tuple("\0" if v is None else repr(round(v, 7) + 0.0) if isinstance(v, float) and not math.isnan(v) else str(v) for v in row)
 
 
 def connect(folder):
