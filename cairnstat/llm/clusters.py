@@ -24,8 +24,9 @@ from cairnstat.llm.neighbors import CELL, DIMENSION, _bytes, _matrix, classes_of
 from cairnstat.llm.topn import heap
 from cairnstat.session import materialize
 
-#: Similarities at which the hierarchy is cut, most similar first.
-LEVELS = (0.97, 0.90, 0.85, 0.80, 0.75, 0.70, 0.65, 0.60, 0.55, 0.50, 0.45)
+#: Similarities at which the hierarchy is cut, most similar first. Differences in density beyond the first level
+#: do not count: a handful of near copies inside a cluster is no cluster of its own.
+LEVELS = (0.85, 0.78, 0.72, 0.66, 0.60, 0.53, 0.45)
 NEIGHBORS = 6
 #: A member's core similarity is that of its neighbour with this rank.
 CORE = 3
@@ -152,7 +153,7 @@ def density_clusters(vertices: DataFrame, edges: DataFrame, smallest: int = SMAL
     ``vertices`` has (id, n), the number of observations a vertex stands for;
     ``edges`` (a, b, w) with w at most 1. ``labels`` is (id, cluster,
     strength): strength is the density at which the vertex joined a node;
-    vertices outside every cluster have cluster NULL. ``tree`` is the minimum
+    vertices outside every cluster have cluster NULL; keys are not negative. ``tree`` is the minimum
     spanning forest (a, b). Edges below the last level are ignored.
     """
     level = F.lit(len(levels))
@@ -160,14 +161,14 @@ def density_clusters(vertices: DataFrame, edges: DataFrame, smallest: int = SMAL
         level = F.when(F.col("w") >= levels[i] - 1e-9, F.lit(i)).otherwise(level)
     graded = materialize(edges.withColumn("level", level).filter(F.col("level") < len(levels)))
     used = sorted(r.level for r in graded.select("level").distinct().collect())  # at most one row per level
-    where = vertices.select("id", F.col("id").alias("c"), F.lit(None).cast("bigint").alias("cluster"), F.when(F.col("n") >= smallest, F.lit(float(_strength(0.9999)))).alias("strength"))
+    where = vertices.select("id", F.col("id").alias("c"), F.lit(None).cast("bigint").alias("cluster"), F.when(F.col("n") >= smallest, F.lit(float(_strength(levels[0])))).alias("strength"))
     # nodes: components with enough members. s1 sums the densities at which members joined, best is that of the parts
-    top = float(_strength(0.9999))
+    top = float(_strength(levels[0]))
     comps = vertices.filter(F.col("n") > 1).select(F.col("id").alias("c"), F.col("n").cast("double").alias("size"), F.when(F.col("n") >= smallest, F.col("id") * 64).alias("node"), F.when(F.col("n") >= smallest, F.col("n") * top).alias("s1"), F.lit(0.0).alias("best"))
     where, comps = materialize(where), materialize(comps)
     tree: list[DataFrame] = []
     for i in used:
-        dense = float(_strength(min(levels[i], 0.9999)))
+        dense = float(_strength(levels[i]))
         e = graded.filter(F.col("level") == i).select("a", "b", "w")
         ends = where.select("id", "c")
         e = e.join(ends.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(ends.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").filter("ca <> cb")
@@ -300,6 +301,30 @@ def settle(classes: DataFrame, graph: DataFrame, labels: DataFrame, floor: float
     return now.join(total.select("cluster"), "cluster", "left_semi")
 
 
+def attach(classes: DataFrame, members: DataFrame, floor: float, dimension: int) -> DataFrame:
+    """(id, cluster, fit): vectors outside every cluster whose most similar cluster mean reaches ``floor``.
+
+    The means join the vectors left over in one more neighbour search, so a
+    member the graph has missed still finds its cluster.
+    """
+    base = classes.select("id", "n", "v")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<f8").reshape(-1, dimension)
+            u = (m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]).astype("<f4")
+            yield pa.RecordBatch.from_arrays([b.column(0), _bytes(u)], names=["cluster", "v"])
+
+    means = _sums(base.join(members.select("id", "cluster"), "id"), dimension).select("cluster", "v").mapInArrow(unit, "cluster bigint, v binary")
+    rest = classes.join(members.select("id"), "id", "left_anti").select(F.lit(None).cast("bigint").alias("cluster"), "id", "v")
+    # means have negative numbers: node labels are not negative
+    both = rest.unionByName(means.select("cluster", (-F.col("cluster") - 1).alias("id"), "v"))
+    both = materialize(both)
+    near = similar_classes(both.select("id", "v"), 4, floor, 4, seed=31, cell=4 * CELL, dimension=dimension)
+    hit = near.filter("q >= 0").select(F.col("q").alias("id"), F.explode("best").alias("e")).filter("e.nb < 0")
+    return hit.groupBy("id").agg(F.min("e").alias("e")).select("id", (-F.col("e.nb") - 1).alias("cluster"), (-F.col("e.s")).alias("fit"))
+
+
 @dataclass(frozen=True)
 class Clusters:
     classes: DataFrame
@@ -322,7 +347,10 @@ def cluster_vectors(units: DataFrame, floor: float = 0.75, smallest: int = SMALL
     edges = reachability_edges(graph, classes.select("id", "n"))
     h = density_clusters(classes.select("id", "n"), edges, smallest)
     labels = materialize(h.labels)
-    members = settle(classes, graph, labels, floor, smallest, dimension)
+    members = materialize(settle(classes, graph, labels.select("id", "cluster"), floor, smallest, dimension))
+    more = materialize(attach(classes, members, floor, dimension))
+    if not more.isEmpty():
+        members = settle(classes, graph, members.unionByName(more), floor, smallest, dimension)
     return Clusters(classes, materialize(members.join(labels.select("id", "strength"), "id", "left")), h.tree)
 
 
