@@ -22,7 +22,7 @@ def _f(x) -> np.ndarray:
 
 
 def lgamma(x) -> np.ndarray:
-    return _lgamma(_f(x)).astype(np.float64)
+    return np.asarray(_lgamma(_f(x)), dtype=np.float64)
 
 
 def log1mexp(x: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def log_normal_tail(z) -> np.ndarray:
     z = _f(z)
     near = np.clip(z, -38.0, 30.0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.log(0.5 * _erfc(near / math.sqrt(2.0)).astype(np.float64))
+        out = np.log(0.5 * np.asarray(_erfc(near / math.sqrt(2.0)), dtype=np.float64))
         far = np.maximum(z, 30.0)
         i = 1.0 / far**2
         tail = -0.5 * far**2 - np.log(far) - 0.5 * math.log(2 * math.pi) + np.log1p(i * (-1.0 + i * (3.0 - 15.0 * i)))
@@ -48,7 +48,7 @@ def normal_quantile_from_log(lp) -> np.ndarray:
     lp = _f(lp)
     upper = lp > -LN2
     small = np.where(upper, log1mexp(np.minimum(lp, -1e-320)), lp)  # log of the smaller tail
-    small = np.where(np.isnan(lp), np.nan, small)
+    small = np.where(np.isnan(lp), np.nan, np.where(lp >= 0, -np.inf, small))
     with np.errstate(divide="ignore", invalid="ignore"):
         t = np.sqrt(np.maximum(-2.0 * small, 1e-300))
         z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1.0 + t * (1.432788 + t * (0.189269 + t * 0.001308)))

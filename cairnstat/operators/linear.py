@@ -156,11 +156,11 @@ def _shrink(s2: np.ndarray, df: int) -> tuple[float, float]:
     trigamma = tri(half) + sum(1 / (df / 2 + k) ** 2 for k in range(3))
     spread = e.var(ddof=1) - trigamma if len(e) > 1 else 0.0
     if spread <= 1e-8:
-        return float(np.exp(e.mean() - digamma + 0.0)), np.inf
+        return float(np.exp(e.mean() - digamma + np.log(df / 2))), np.inf
     d0 = 2 * (0.5 + 1 / spread)
     x = d0 / 2 + 3
     dig0 = di(x) - sum(1 / (d0 / 2 + k) for k in range(3))
-    return float(np.exp(e.mean() - digamma + dig0 - np.log(d0 / 2))), float(d0)
+    return float(np.exp(e.mean() - digamma + np.log(df / 2) + dig0 - np.log(d0 / 2))), float(d0)
 
 
 def _voom(counts: np.ndarray, lib: np.ndarray, design: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
