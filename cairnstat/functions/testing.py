@@ -41,11 +41,11 @@ def bh_large(df: DataFrame, p: str, out: str) -> DataFrame:
     running minimum carries over from the buckets above. Both side tables have
     a row per bucket.
     """
-    spark = df.sparkSession
-    parts = 8 * parallelism(spark)
+    df = materialize(df)
+    parts = 8 * parallelism(df.sparkSession)
     cuts = sorted(set(df.stat.approxQuantile(p, [i / parts for i in range(1, parts)], 0.25 / parts)))
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    x = materialize(df.withColumn("__b", F.when(F.col(p).isNotNull(), F.size(F.filter(edges, lambda c: c < F.col(p))))))
+    x = df.withColumn("__b", F.when(F.col(p).isNotNull(), F.size(F.filter(edges, lambda c: c < F.col(p)))))
     counts = {r[0]: r[1] for r in x.filter("__b is not null").groupBy("__b").count().collect()}  # at most `parts` rows
     m, below, run = sum(counts.values()), {}, 0
     for b in sorted(counts):

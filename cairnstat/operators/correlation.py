@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cairnstat.functions.testing import bh_large, stouffer, weighted_mean
+from cairnstat.operators.linear import residuals
 from cairnstat.operators.pairings import pairings
 from cairnstat.operators.ranks import with_rho_p
+from cairnstat.session import materialize
 from cairnstat.sources.assays import Assay
 
 #: Blocks with fewer observations are left out.
@@ -48,7 +50,7 @@ def spearman(assay: Assay, pairs=None, equal_weight: bool = True) -> DataFrame:
     d = standardized_ranks(assay)
     wanted = pairings(assay.features, pairs)
     used = wanted.select(F.explode(F.array("gene1", "gene2")).alias("feature")).distinct()
-    d = d.join(used, "feature", "left_semi")
+    d = materialize(d.join(used, "feature", "left_semi"))
     o = assay.observations.filter("block is not null").groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
     blocks = o.collect()  # levels of a design factor
     sums = d.groupBy("feature", "block").agg(F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
@@ -66,13 +68,18 @@ def spearman(assay: Assay, pairs=None, equal_weight: bool = True) -> DataFrame:
     x = with_rho_p(with_rho_p(x, "rho", F.col("n"), True, "up"), "rho", F.col("n"), False, "down")
     keys = ["gene1", "gene2"]
     w = F.lit(1.0) if equal_weight else F.col("n").cast("double")
-    x = x.withColumn("w", w)
+    x = materialize(x.withColumn("w", w))
     mean = x.groupBy(*keys).agg(weighted_mean(F.col("rho"), F.col("w")).alias("rho"), F.sum("n").alias("n"))
     p = stouffer(x, "up", keys, "up", "w").join(stouffer(x, "down", keys, "down", "w"), keys)
     out = mean.join(p, keys, "left").select(*keys, "rho", "n", F.when(F.col("rho").isNotNull(), F.least(F.lit(1.0), 2 * F.exp(F.least("up", "down")))).alias("p_value"))
     return bh_large(out, "p_value", "fdr")
 
 
+def spearman_residuals(assay: Assay, design: DataFrame, columns: list[str], pairs=None) -> DataFrame:
+    """As `spearman`, on the residuals of a linear model of every feature; all observations of the design are one block."""
+    return spearman(residuals(assay, design, columns), pairs)
+
+
 def per_feature(pairs: DataFrame) -> DataFrame:
     """(gene, rho, p_value, fdr) from pair correlations: Simes p, and the rho of the smallest p (largest in size on ties)."""
     both = pairs.select(F.explode(F.array("gene1", "gene2")).alias("gene"), "rho", "p_value").filter("p_value is not null")

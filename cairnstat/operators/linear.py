@@ -57,6 +57,21 @@ def residual_moments(assay: Assay, design: DataFrame, columns: list[str]) -> Dat
     return mean.join(fit.select("feature", F.col("sigma2").alias("variance")), "feature")
 
 
+def residuals(assay: Assay, design: DataFrame, columns: list[str]) -> Assay:
+    """The assay less what a linear model of every feature explains. Residuals are dense: choose the features first."""
+    fit, inv, _ = least_squares(assay.values, assay.features, design, columns)
+    if inv is None:
+        raise ValueError("the design has no full rank")
+    coefs = fit.agg(F.collect_list(F.struct("feature", *[f"b{i}" for i in range(len(columns))])).alias("__f"))  # one row, an entry per feature
+    d = design.select("obs", *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    grid = d.join(F.broadcast(coefs)).select("*", F.explode("__f").alias("__e"))
+    fitted = sum((F.col(f"__e.b{i}") * F.col(f"__x{i}") for i in range(len(columns))), F.lit(0.0))
+    grid = grid.select("obs", F.col("__e.feature").alias("feature"), fitted.alias("__fit"))
+    x = grid.join(assay.values, ["feature", "obs"], "left").select("feature", "obs", (F.coalesce("value", F.lit(0.0)) - F.col("__fit")).alias("value"))
+    o = assay.observations.join(design.select("obs"), "obs", "left_semi").withColumn("block", F.lit("all"))
+    return Assay(x, assay.features, o)
+
+
 def contrast_test(assay: Assay, design: DataFrame, columns: list[str], coefs: list[int] | None = None, contrasts: np.ndarray | None = None) -> DataFrame:
     """(feature, estimates, log_p, p_value, fdr): t test of one contrast (logfc), F test of several together.
 
@@ -111,6 +126,36 @@ def contrast_test_blocked(assay: Assay, design: DataFrame, columns: list[str], b
     return benjamini_hochberg(est.join(p, "feature", "left"), "p_value", [], "fdr")
 
 
+def pairwise_t_design(assay: Assay, design: DataFrame | None = None, columns: list[str] | None = None, direction: str = "any", lfc: float = 0.0) -> DataFrame:
+    """(feature, first, second, logfc, p_value, fdr): every ordered pair of groups in one linear model with further covariates.
+
+    The model has a mean per group and the named columns of ``design`` (obs,
+    ..) but an intercept, which is dropped. All pairs share the residual
+    variance, floored at 1e-8.
+    """
+    groups = sorted(r.grp for r in assay.observations.select("grp").filter("grp <> ''").distinct().collect())
+    columns = [c for c in columns or [] if c != "(Intercept)"]
+    x = assay.observations.filter("grp <> ''").select("obs", *[(F.col("grp") == g).cast("double").alias(f"__g{i}") for i, g in enumerate(groups)])
+    if design is not None:
+        x = x.join(design.select("obs", *columns), "obs")
+    names = [f"__g{i}" for i in range(len(groups))] + columns
+    fit, inv, df = least_squares(assay.values, assay.features, x, names)
+    if inv is None or df <= 0:
+        raise ValueError("no residual degrees of freedom")
+    fit = materialize(fit)
+    each = []
+    for i, a in enumerate(groups):
+        for j, b in enumerate(groups):
+            if i != j:
+                unit = float(inv[i, i] + inv[j, j] - 2 * inv[i, j])
+                each.append(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (F.col(f"b{i}") - F.col(f"b{j}")).alias("logfc"), F.sqrt(F.greatest("sigma2", F.lit(1e-8)) * unit).alias("se")))
+    p = fit.select("feature", F.explode(F.array(*each)).alias("e")).select("feature", "e.*").withColumn("__d", F.lit(float(df)))
+    p = p.withColumn("__l", -(F.col("logfc") + lfc) / F.col("se")).withColumn("__r", (F.col("logfc") - lfc) / F.col("se"))
+    p = p.withColumn("left", special.t_tail_udf("__l", "__d")).withColumn("right", special.t_tail_udf("__r", "__d"))
+    lp = {"up": F.col("right"), "down": F.col("left"), "any": F.least(F.lit(0.0), F.least("left", "right") + special.LN2)}[direction]
+    return benjamini_hochberg(p.select("feature", "first", "second", "logfc", F.exp(lp).alias("p_value")), "p_value", ["first", "second"], "fdr")
+
+
 # pseudo-bulk: few samples per label, many features; labels are independent
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnstat.functions import special
@@ -197,6 +198,36 @@ def summary_stats(assay: Assay) -> DataFrame:
     )
 
 
+def corrected_summaries(assay: Assay, detection: float = 0.0) -> DataFrame:
+    """(grp, feature, average, detected_share): group effects freed of block effects.
+
+    Means of (group, block), weighted by their observations, are modelled as
+    group + block; a group's value is its effect in the average block.
+    Detected shares are modelled on the logit scale, shrunk by half an
+    observation. The model is the same for all features, so each result is a
+    fixed combination of that feature's means, found once on the driver. With
+    one block the averages are the plain ones.
+    """
+    rows = levels(assay.observations, ["grp", "block"])
+    groups, blocks = sorted({r.grp for r in rows}), sorted({r.block for r in rows})
+    x = np.zeros((len(rows), len(groups) + len(blocks) - 1))
+    for k, r in enumerate(rows):
+        x[k, groups.index(r.grp)] = 1.0
+        if r.block != blocks[0]:
+            x[k, len(groups) + blocks.index(r.block) - 1] = 1.0
+    w = np.array([float(r.n) for r in rows])
+    beta = np.linalg.pinv(x * np.sqrt(w)[:, None]) * np.sqrt(w)[None]
+    share = np.array([sum(r.n for r in rows if r.block == b) for b in blocks[1:]], float) / w.sum()
+    take = beta[: len(groups)] + share @ beta[len(groups) :]
+    spark = assay.values.sparkSession
+    factors = [(g, r.grp, r.block, float(take[i, k])) for i, g in enumerate(groups) for k, r in enumerate(rows) if abs(take[i, k]) > 1e-12]
+    f = spark.createDataFrame(factors, "to string, grp string, block string, w double")
+    p = (F.col("detected") + 0.5) / (F.col("n") + 1.0)
+    m = marker_moments(assay, detection).withColumn("__logit", F.log(p / (1 - p)))
+    s = m.join(f, ["grp", "block"]).groupBy(F.col("to").alias("grp"), "feature").agg(F.sum(F.col("w") * F.col("mean")).alias("average"), F.sum(F.col("w") * F.col("__logit")).alias("__l"))
+    return s.select("grp", "feature", "average", (1 / (1 + F.exp(-F.col("__l")))).alias("detected_share"))
+
+
 # pairwise tests
 
 

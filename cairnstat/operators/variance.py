@@ -98,6 +98,14 @@ def model_var(assay: Assay, fit_features: list[str] | None = None, equal_weight:
     return combine_blocks(per, VAR_FIELDS, weight=None if equal_weight else "n", method=method)
 
 
+def model_var_design(assay: Assay, design: DataFrame, columns: list[str], **trend) -> DataFrame:
+    """As `model_var`, with the residual variance of a linear model in place of the variance within blocks."""
+    from cairnstat.operators.linear import residual_moments
+
+    stats = materialize(residual_moments(assay, design, columns).withColumn("block", F.lit("all")).withColumn("n", F.lit(2)))
+    return combine_blocks(_per_block(stats, stats, "variance", lambda p: fit_trend_var(p["mean"], p.variance, **trend), decompose), VAR_FIELDS)
+
+
 def model_var_spikes(assay: Assay, spikes: Assay, equal_weight: bool = True, method: str = "fisher", pseudo: float = 1.0, **trend) -> DataFrame:
     """As `model_var`, with the trend fitted to spike-in features (same observations, own size factors of the same mean)."""
     stats = materialize(shifted_lognorm_moments(assay, ["block"], pseudo).select("feature", "block", "n", "mean", "variance"))

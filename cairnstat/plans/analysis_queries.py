@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnstat.functions.fits import fit_trend_var
-from cairnstat.operators import classify as cl, correlation as co, graphs as gr, linear as li, pooling, ranks as rk, reduction as re, variance as va
+from cairnstat.operators import classify as cl, correlation as co, graphs as gr, linear as li, markers as mk, pooling, ranks as rk, reduction as re, variance as va
 from cairnstat.operators.current import current_rows
 from cairnstat.operators.moments import moments
 from cairnstat.plans import sql as S
@@ -74,6 +74,12 @@ def correlate_null(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def correlate_pairs_design(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of residuals on account balance."""
+    a, x = _design(spark, d)
+    return co.spearman_residuals(a, x, ["one", "balance"]).select("gene1", "gene2", _r("rho"), "n")
+
+
 # ranks
 
 
@@ -204,6 +210,25 @@ def linear_model_blocked(spark: SparkSession, d: str) -> DataFrame:
     return t.select("feature", _r("logfc"), _r("p_value", 8), _r("fdr", 8))
 
 
+def pairwise_t_design(spark: SparkSession, d: str) -> DataFrame:
+    """Segments compared in one model with account balance."""
+    a, x = _design(spark, d)
+    t = li.pairwise_t_design(a.normalized(), x, ["balance"])
+    return t.select("feature", "first", "second", _r("logfc"), _r("p_value", 8), _r("fdr", 8))
+
+
+def model_var_design(spark: SparkSession, d: str) -> DataFrame:
+    a, x = _design(spark, d)
+    m = va.model_var_design(a.normalized(), x, ["one", "balance"])
+    return m.select("feature", _r("mean"), _r("total"), _r("tech"), _r("bio"), _r("p_value", 8), _r("fdr", 8))
+
+
+def corrected_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Group averages freed of region effects."""
+    c = mk.corrected_summaries(assays.brand_by_customer(spark, d))
+    return c.select("grp", "feature", _r("average"), _r("detected_share"))
+
+
 def _bulk(spark: SparkSession, d: str) -> DataFrame:
     """Counts per brand, region (label), supplier and line status (sample)."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -391,9 +416,9 @@ def event_moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    spearman_pairs, spearman_blocked, spearman_signed, correlate_pairs, correlate_genes, gene_simes, correlate_null, scaled_ranks, scaled_ranks_sparse, dm_running_median,
+    spearman_pairs, spearman_blocked, spearman_signed, correlate_pairs, correlate_genes, gene_simes, correlate_null, correlate_pairs_design, scaled_ranks, scaled_ranks_sparse, dm_running_median,
     top_hvg, model_var, model_var_blocked, model_var_spikes, model_var_poisson, model_cv2, model_cv2_spikes, combine_var, combine_blocks, combine_blocks_geometric, size_factors_pooled,
-    simple_ols, residual_variance, linear_model, linear_model_f, linear_model_blocked, pseudobulk_specific, decide_tests, summarize_tests,
+    simple_ols, residual_variance, linear_model, linear_model_f, linear_model_blocked, pairwise_t_design, model_var_design, corrected_summaries, pseudobulk_specific, decide_tests, summarize_tests,
     pca, pca_scores, pca_rotation, pca_low_rank, pca_total, denoise_rank, denoised_pcs,
     nearest_points, knn_edges, snn_edges, snn_edges_jaccard, modularity, cluster_cells, quick_cluster, quick_cluster_ranks, quick_sub_cluster, clustered_pcs,
     marker_pairs, pair_proportion, phase_call, cyclone_scores, event_moments,

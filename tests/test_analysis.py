@@ -262,3 +262,36 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (r.window_start, r.kind, r.n, round(r["mean"], 9))
     assert sorted(map(key, spark.table("wm").collect())) == sorted(map(key, windowed_moments(df, "ts", ["kind"], "v").collect()))
+
+
+def test_designs(spark):
+    rng = np.random.default_rng(11)
+    x = rng.poisson(2, (5, 60)).astype(float)
+    grp = [str(g) for g in rng.choice(list("abc"), 60)]
+    a = make(spark, x, grp)
+    cov = rng.standard_normal(60)
+    design = spark.createDataFrame(pd.DataFrame({"obs": range(60), "one": 1.0, "u": cov}))
+    m = np.column_stack([np.ones(60), cov])
+    res = {(r.feature, r.obs): r.value for r in li.residuals(a, design, ["one", "u"]).values.collect()}
+    want = x.T - m @ np.linalg.lstsq(m, x.T, rcond=None)[0]
+    assert all(abs(res[f"g{i}", j] - want[j, i]) < 1e-9 for i in range(5) for j in range(60))
+    rho = {(r.gene1, r.gene2): r.rho for r in co.spearman_residuals(a, design, ["one", "u"]).collect()}
+    rk_ = pd.DataFrame(want).rank().to_numpy()
+    assert rho["g0", "g3"] == pytest.approx(np.corrcoef(rk_[:, 0], rk_[:, 3])[0, 1])
+    t = {(r.feature, r["first"], r["second"]): r for r in li.pairwise_t_design(a, design, ["u"]).collect()}
+    full = np.column_stack([[g == k for g in grp] for k in "abc"] + [cov]).astype(float)
+    beta = np.linalg.lstsq(full, x[2], rcond=None)[0]
+    assert t["g2", "a", "c"].logfc == pytest.approx(beta[0] - beta[2]) and t["g2", "a", "c"].p_value == pytest.approx(t["g2", "c", "a"].p_value)
+
+
+def test_corrected_summaries(spark):
+    from cairnstat.operators import markers as mk
+
+    rng = np.random.default_rng(12)
+    grp = [str(g) for g in rng.choice(list("ab"), 400)]
+    block = [("x" if rng.random() < (0.8 if g == "a" else 0.2) else "y") for g in grp]
+    x = np.array([[1.0 * (g == "a") + 5.0 * (b == "y") + 1 for g, b in zip(grp, block)]])
+    got = {r.grp: r.average for r in mk.corrected_summaries(make(spark, x, grp, block)).collect()}
+    assert got["a"] - got["b"] == pytest.approx(1.0)
+    one = {r.grp: r.average for r in mk.corrected_summaries(make(spark, x, grp)).collect()}
+    assert one["a"] == pytest.approx(x[0][[g == "a" for g in grp]].mean())
