@@ -43,20 +43,25 @@ def lowess(x: np.ndarray, y: np.ndarray, w: np.ndarray, span: float = 0.3, round
     need = span * ws.sum()
     # the smoother is evaluated on at most 400 points and read off between them
     at = np.unique(np.round(np.linspace(0, len(xs) - 1, min(len(xs), 400))).astype(int))
+    near = []  # per point: its neighbourhood, a run of the sorted points, and tricube weights in it
+    for i in at:
+        d = np.abs(xs - xs[i])
+        order_d = np.argsort(d, kind="stable")
+        reach = max(d[order_d[min(int(np.searchsorted(np.cumsum(ws[order_d]), need)), len(xs) - 1)]], 1e-8)
+        lo, hi = np.searchsorted(xs, xs[i] - reach, side="left"), np.searchsorted(xs, xs[i] + reach, side="right")
+        near.append((lo, hi, np.clip(1 - (d[lo:hi] / reach) ** 3, 0, None) ** 3 * ws[lo:hi]))
     robust, fit = np.ones(len(xs)), ys
     for _ in range(rounds):
         out = np.empty(len(at))
-        for k, i in enumerate(at):
-            d = np.abs(xs - xs[i])
-            near = np.argsort(d, kind="stable")
-            reach = d[near[min(int(np.searchsorted(np.cumsum(ws[near]), need)), len(xs) - 1)]]
-            t = np.clip(1 - (d / max(reach, 1e-8)) ** 3, 0, None) ** 3 * ws * robust
-            if t.sum() <= 0:
-                out[k] = ys[i]
+        for k, (lo, hi, base) in enumerate(near):
+            t, u, v = base * robust[lo:hi], xs[lo:hi], ys[lo:hi]
+            total = t.sum()
+            if total <= 0:
+                out[k] = ys[at[k]]
                 continue
-            mx, my = np.average(xs, weights=t), np.average(ys, weights=t)
-            sxx = (t * (xs - mx) ** 2).sum()
-            out[k] = my + ((t * (xs - mx) * (ys - my)).sum() / sxx if sxx > 1e-12 * t.sum() else 0.0) * (xs[i] - mx)
+            mx, my = (t @ u) / total, (t @ v) / total
+            sxx = t @ (u - mx) ** 2
+            out[k] = my + ((t @ ((u - mx) * (v - my))) / sxx if sxx > 1e-12 * total else 0.0) * (xs[at[k]] - mx)
         fit = np.interp(xs, xs[at], out) if len(np.unique(xs[at])) > 1 else np.full(len(xs), out.mean())
         res = np.abs(ys - fit)
         cut = 6 * np.median(res)

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cairnstat.functions import special
 from cairnstat.session import materialize, parallelism
@@ -28,7 +30,8 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str], out: str, log:
     m = F.count(p).over(fam)
     raw = F.col(p) + F.log(m / rank) if log else F.col(p) * m / rank
     x = df.withColumn("__r", rank).withColumn("__raw", raw)
-    after = fam.orderBy("__r").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the largest p down: a frame that grows is linear, one that shrinks is computed anew for every row
+    after = fam.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     top = F.lit(0.0 if log else 1.0)
     return x.withColumn(out, F.when(known, F.least(top, F.min("__raw").over(after)))).drop("__r", "__raw")
 
@@ -44,25 +47,34 @@ def bh_large(df: DataFrame, p: str, out: str) -> DataFrame:
     df = materialize(df)
     parts = 8 * parallelism(df.sparkSession)
     cuts = sorted(set(df.stat.approxQuantile(p, [i / parts for i in range(1, parts)], 0.25 / parts)))
-    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    x = df.withColumn("__b", F.when(F.col(p).isNotNull(), F.size(F.filter(edges, lambda c: c < F.col(p)))))
+    edges = np.array(cuts, dtype=float)
+
+    @F.pandas_udf(T.IntegerType())
+    def bucket_of(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, v.to_numpy(dtype=float), side="left").astype(np.int32))
+
+    x = materialize(df.withColumn("__b", F.when(F.col(p).isNotNull(), bucket_of(p))))
     counts = {r[0]: r[1] for r in x.filter("__b is not null").groupBy("__b").count().collect()}  # at most `parts` rows
     m, below, run = sum(counts.values()), {}, 0
     for b in sorted(counts):
         below[b], run = run, run + counts[b]
     if not m:
         return x.withColumn(out, F.lit(None).cast("double")).drop("__b")
-    base = F.element_at(F.create_map(*[F.lit(v) for kv in below.items() for v in kv]), F.col("__b"))
     bucket = Window.partitionBy("__b").orderBy(p)
-    y = x.withColumn("__r", F.when(F.col("__b").isNotNull(), F.row_number().over(bucket) + base))
+    y = _by_bucket(x.filter("__b is not null"), below, "bigint").withColumn("__r", F.row_number().over(bucket) + F.col("__v")).drop("__v")
     y = materialize(y.withColumn("__raw", F.col(p) * m / F.col("__r")))
-    lowest = {r[0]: r[1] for r in y.filter("__b is not null").groupBy("__b").agg(F.min("__raw")).collect()}
+    lowest = {r[0]: r[1] for r in y.groupBy("__b").agg(F.min("__raw")).collect()}
     above, low = {}, 1.0
     for b in sorted(lowest, reverse=True):
         above[b], low = low, min(low, lowest[b])
-    carry = F.element_at(F.create_map(*[F.lit(v) for kv in above.items() for v in kv]), F.col("__b"))
-    after = Window.partitionBy("__b").orderBy("__r").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return y.withColumn(out, F.when(F.col("__b").isNotNull(), F.least(carry, F.min("__raw").over(after)))).drop("__b", "__r", "__raw")
+    after = Window.partitionBy("__b").orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = _by_bucket(y, above, "double").withColumn(out, F.least(F.col("__v"), F.min("__raw").over(after))).drop("__b", "__r", "__raw", "__v")
+    return known.unionByName(x.filter("__b is null").drop("__b").withColumn(out, F.lit(None).cast("double")))
+
+
+def _by_bucket(df: DataFrame, values: dict[int, float], kind: str) -> DataFrame:
+    """Add ``__v``, a number per bucket; the table of buckets has a fixed number of rows and is broadcast."""
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(list(values.items()), f"__b int, __v {kind}")), "__b")
 
 
 def _ranked(df: DataFrame, p: str, by: Sequence[str], ties: Sequence[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from cairnstat.functions import special
 from cairnstat.functions.testing import METHODS, benjamini_hochberg, stouffer, weighted_mean
 from cairnstat.operators.moments import moments
-from cairnstat.session import materialize
+from cairnstat.session import materialize, parallelism
 from cairnstat.sources.assays import Assay
 
 
@@ -312,7 +312,7 @@ def pseudo_bulk(counts: DataFrame, design: Callable[[pd.DataFrame], np.ndarray],
             return empty
         return pd.DataFrame({"label": pdf["label"].iloc[0], "feature": wide.index, "logfc": t.logfc.to_numpy(), "abundance": t.abundance.to_numpy(), "p_value": t.p.to_numpy()})
 
-    out = counts.groupBy("label").applyInPandas(run, "label string, feature string, logfc double, abundance double, p_value double")
+    out = counts.repartition(parallelism(counts.sparkSession), "label").groupBy("label").applyInPandas(run, "label string, feature string, logfc double, abundance double, p_value double")
     nn = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return benjamini_hochberg(out.select("label", "feature", nn("logfc"), nn("abundance"), nn("p_value")), "p_value", ["label"], "fdr")
 

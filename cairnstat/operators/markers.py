@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cairnstat.functions import special
 from cairnstat.functions.testing import benjamini_hochberg, kth, weighted_mean
 from cairnstat.operators.moments import levels, moments
+from cairnstat.session import materialize
 from cairnstat.sources.assays import Assay
 
 DIRECTIONS = ("any", "up", "down")
@@ -261,7 +262,8 @@ def _combined(per_block: DataFrame, effect: str, direction: str, log: bool) -> D
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}")
     keys = ["feature", "first", "second"]
-    x = per_block.withColumn("left", F.when(F.col("valid"), F.col("left"))).withColumn("right", F.when(F.col("valid"), F.col("right")))
+    x = per_block.select("feature", "first", "second", effect, "weight", "valid", F.when(F.col("valid"), F.col("left")).alias("left"), F.when(F.col("valid"), F.col("right")).alias("right"))
+    x = materialize(x)  # three aggregates read it
     left = stouffer(x, "left", keys, "left", "weight")
     right = stouffer(x, "right", keys, "right", "weight")
     eff = x.groupBy(*keys).agg(weighted_mean(F.when(F.col("valid"), F.col(effect)), F.col("weight")).alias(effect))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cairnstat.session import parallelism
 from cairnstat.sources.assays import Assay
 
 #: Observations one system of equations takes.
@@ -70,7 +71,7 @@ def pooled_size_factors(assay: Assay, clusters: DataFrame | None = None, sizes:
             out[good] = factor * lib[good] * scale
         return pd.DataFrame({"obs": pdf.obs, "size_factor": out})
 
-    raw = cells.groupBy("__c").applyInPandas(run, "obs bigint, size_factor double")
+    raw = cells.repartition(parallelism(cells.sparkSession), "__c").groupBy("__c").applyInPandas(run, "obs bigint, size_factor double")
     raw = raw.withColumn("size_factor", F.when(~F.isnan("size_factor"), F.col("size_factor")))
     mean = raw.agg(F.avg("size_factor").alias("__m"))
     return raw.join(F.broadcast(mean)).select("obs", (F.col("size_factor") / F.col("__m")).alias("size_factor"))  # one row is broadcast

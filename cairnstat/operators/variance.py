@@ -46,6 +46,7 @@ def combine_blocks(per_block: DataFrame, fields: Sequence[str], by: str = "block
     A NULL in a valid block makes the mean NULL. Weights are equal unless
     ``weight`` is named. ``per_block`` keeps each block's row as a map.
     """
+    per_block = materialize(per_block)  # three aggregates read it
     ok = F.col(valid) if valid else F.lit(True)
     x = per_block.withColumn("__ok", ok).withColumn("__w", F.col(weight).cast("double") if weight else F.lit(1.0))
     v = x.filter("__ok")
