@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cairnstat.llm.topn import heap
-from cairnstat.session import materialize
+from cairnstat.session import materialize, parallelism
 
 DIMENSION = 64
 PROJECTIONS = 16
@@ -236,7 +236,9 @@ def _search(placed: DataFrame, trees: list[Tree], k: int, dimension: int, quanti
         rows, nb, sim = local_search(x[data], ids[data], p[data], x[query], ids[query], p[query], k, floor[query], quantile)
         return pa.table({"q": ids[query][rows], "nb": nb, "sim": sim.astype(np.float64)})
 
-    return placed.groupBy("tree", "cell").applyInArrow(run, _RESULT)
+    # cells are much work for few bytes: partitions are set by their number and not merged by size
+    tasks = max(parallelism(placed.sparkSession), len(trees) * 2 ** trees[0].depth // 2)
+    return placed.repartition(tasks, "tree", "cell").groupBy("tree", "cell").applyInArrow(run, _RESULT)
 
 
 def _place(vectors: DataFrame, trees: list[Tree], dimension: int) -> DataFrame:
