@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnstat.functions.normal import quantile
-from cairnstat.session import parallelism
+from cairnstat.session import materialize, parallelism
 
 #: Cut points within a group that is ranked in pieces.
 PIECES = 64
 #: Relative accuracy of those cut points; it only affects how even the pieces are.
 ACCURACY = 2_000
+#: Rows from which a group may be ranked in pieces.
+LARGE = 50_000
 
 
 def average_percentile(long: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
@@ -22,21 +24,26 @@ def average_percentile(long: DataFrame, group: list[str], value: str, out: str)
     rows below it. ``value`` is neither NULL nor NaN. A group of one gets 0.5.
     """
     spark = long.sparkSession
+    long = materialize(long)
     cols = long.columns
     gs = [f"__g{i}" for i in range(len(group))]
-    sizes = long.groupBy(*[F.col(g).alias(a) for g, a in zip(group, gs)]).agg(
-        F.count("*").alias("__n"), F.percentile_approx(value, [i / PIECES for i in range(1, PIECES)], ACCURACY).alias("__cuts")
-    )
-    rows = long.count()
-    hot = sizes.filter(F.col("__n") > max(rows // (4 * parallelism(spark)), 50_000)).collect()
-    if hot:
-        known = spark.createDataFrame(hot, sizes.schema)
+
+    def same(left: list[str]) -> Column:
         on = F.lit(True)
-        for g, a in zip(group, gs):
+        for g, a in zip(left, gs):
             on = on & F.col(g).eqNullSafe(F.col(a))
-        # at most 4 * parallelism rows by the filter above
-        x = long.join(F.broadcast(known), on, "left")
-        x = x.withColumn("__p", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))).drop("__cuts", "__n", *gs)
+        return on
+
+    sizes = materialize(long.groupBy(*[F.col(g).alias(a) for g, a in zip(group, gs)]).agg(F.count("*").alias("__n")))
+    rows = sizes.agg(F.sum("__n")).first()[0] or 0
+    # at most 4 * parallelism groups can be above this
+    hot = sizes.filter(F.col("__n") > max(rows // (4 * parallelism(spark)), LARGE)).collect()
+    if hot:
+        named = F.broadcast(spark.createDataFrame(hot, sizes.schema).drop("__n"))
+        cuts = long.join(named, same(group)).groupBy(*gs).agg(F.percentile_approx(value, [i / PIECES for i in range(1, PIECES)], ACCURACY).alias("__cuts"))
+        known = spark.createDataFrame(cuts.collect(), cuts.schema)
+        x = long.join(F.broadcast(known), same(group), "left")
+        x = x.withColumn("__p", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))).drop("__cuts", *gs)
     else:
         x = long.withColumn("__p", F.lit(0))
     piece = Window.partitionBy(*group, "__p")
@@ -48,14 +55,14 @@ def average_percentile(long: DataFrame, group: list[str], value: str, out: str)
         counts = (
             x.groupBy(*[F.col(g).alias(a) for g, a in zip(group, gs)], F.col("__p").alias("__cp"))
             .agg(F.count("*").alias("__c"))
-            .join(F.broadcast(known.select(*gs)), gs, "left_semi")
         )
+        also = F.lit(True)
+        for a in gs:
+            also = also & F.col(a).eqNullSafe(F.col(f"{a}k"))
+        counts = counts.join(F.broadcast(known.select(*[F.col(a).alias(f"{a}k") for a in gs])), also, "left_semi")
         before = per.orderBy("__cp").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*gs, "__cp", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"), F.sum("__c").over(per).alias("__all"))
-        on = F.col("__p") == F.col("__cp")
-        for g, a in zip(group, gs):
-            on = on & F.col(g).eqNullSafe(F.col(a))
-        x = x.join(F.broadcast(offsets), on, "left")
+        x = x.join(F.broadcast(offsets), (F.col("__p") == F.col("__cp")) & same(group), "left")
         x = x.withColumn("__below", F.col("__below") + F.coalesce("__off", F.lit(0))).withColumn("__size", F.coalesce("__all", "__size"))
     return x.select(*cols, ((F.col("__below") + F.col("__peers") / 2.0) / F.col("__size")).alias(out))
 

@@ -40,10 +40,11 @@ def test_normal_quantile(spark):
 
 def test_percentile_in_pieces_equals_whole(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    rows = [("hot" if i % 3 else f"g{i % 7}", float(rng.integers(300))) for i in range(160_000)]
+    monkeypatch.setattr(fusion, "LARGE", 1_000)
+    rows = [(["hot", None, f"g{i % 7}"][i % 3], float(rng.integers(300))) for i in range(60_000)]
     df = spark.createDataFrame(rows, "g string, v double")
     got = fusion.average_percentile(df, ["g"], "v", "q").toPandas()
-    for _, part in got.groupby("g"):
+    for _, part in got.groupby("g", dropna=False):
         want = (part.v.rank() - 0.5) / len(part)
         assert np.allclose(part.q, want)
     assert len(got) == len(rows)
@@ -51,8 +52,9 @@ def test_percentile_in_pieces_equals_whole(spark, monkeypatch):
 
 def test_fused_ranking_missing_and_scale(spark):
     rows = [("g", "a", 9e9, 0.0, 1), ("g", "b", 1.0, 0.5, None), ("g", "c", float("nan"), None, None), ("g", "d", 0.0, 0.9, 3), (None, "a", 1.0, 0.1, 1)]
-    df = spark.createDataFrame(rows, "g string, f string, x double, p double, t int")
+    df = spark.createDataFrame(rows, "g string, f string, x double, p double, t int").withColumn("combined", F.lit("clash")).withColumn("__v", F.lit(1))
     got = {(r.g, r.f): (r.combined, r.n_scores) for r in fusion.fused_ranking(df, ["g"], ["f"], {"x": (True, 1.0), "p": (False, 1.0), "t": (False, 1.0)}).collect()}
     assert got["g", "c"] == (None, 0) and got["g", "b"][1] == 2
+    assert fusion.fused_ranking(df.limit(0), ["g"], ["f"], {"x": (True, 1.0)}).count() == 0
     assert got["g", "a"][0] > got["g", "b"][0] > got["g", "d"][0]
     assert abs(got[None, "a"][0]) < 1e-12
