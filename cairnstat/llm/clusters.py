@@ -226,11 +226,10 @@ def _sums(rows: DataFrame, dimension: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for b in batches:
-            raw = b.column(2).to_pylist()
-            if not raw:
+            if not b.num_rows:
                 continue
-            kind = "<f8" if len(raw[0]) == 8 * dimension else "<f4"
-            x = np.frombuffer(b"".join(raw), dtype=kind).reshape(-1, dimension).astype(np.float64)
+            kind = "<f8" if len(b.column(2)[0].as_buffer()) == 8 * dimension else "<f4"
+            x = _matrix(b.column(2), dimension, kind).astype(np.float64)
             n, c = b.column(1).to_numpy(), b.column(0).to_numpy()
             if kind == "<f4":
                 x = x * n[:, None]
@@ -266,7 +265,7 @@ def _best_fit(candidates: DataFrame, centres: DataFrame, floor: float, dimension
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(2), dimension).astype(np.float64)
-            m = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype="<f8").reshape(-1, dimension)
+            m = _matrix(b.column(3), dimension, "<f8")
             c = (x * m).sum(axis=1) / np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(x, axis=1), 1e-300)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c)], names=["id", "cluster", "fit"])
 
@@ -311,7 +310,7 @@ def attach(classes: DataFrame, members: DataFrame, floor: float, dimension: int)
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<f8").reshape(-1, dimension)
+            m = _matrix(b.column(1), dimension, "<f8")
             u = (m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]).astype("<f4")
             yield pa.RecordBatch.from_arrays([b.column(0), _bytes(u)], names=["cluster", "v"])
 

@@ -78,13 +78,16 @@ def _bytes(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, at, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
 
-def _matrix(column, dimension: int) -> np.ndarray:
-    """The reverse of _bytes."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    if isinstance(column, pa.ChunkedArray):
-        return np.concatenate([_matrix(c, dimension) for c in column.chunks]) if column.num_chunks else np.zeros((0, dimension), np.float32)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f4").reshape(-1, dimension)
+def _matrix(column: pa.Array | pa.ChunkedArray, dimension: int, kind: str = "<f4") -> np.ndarray:
+    """The reverse of _bytes: the numbers are read where they lie, and copied only to join chunks."""
+    parts = []
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(c):
+            wide = np.int64 if pa.types.is_large_binary(c.type) else np.int32
+            at = np.frombuffer(c.buffers()[1], dtype=wide)[c.offset : c.offset + len(c) + 1]
+            size = np.dtype(kind).itemsize
+            parts.append(np.frombuffer(c.buffers()[2], dtype=kind, count=int(at[-1] - at[0]) // size, offset=int(at[0])).reshape(-1, dimension))
+    return np.zeros((0, dimension), kind) if not parts else parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def classes_of(units: DataFrame, key: str, keep: int) -> DataFrame:
