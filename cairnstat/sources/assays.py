@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cairnstat.operators.current import current_rows
+from cairnstat.session import materialize
 from cairnstat.sources.tables import table
 
 
@@ -72,6 +73,7 @@ def brand_by_customer(spark: SparkSession, d: str) -> Assay:
     x = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     x = x.join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     values = x.groupBy(F.col("p_brand").alias("feature"), F.col("o_custkey").alias("obs")).agg(F.sum("l_quantity").alias("value"))
+    values = materialize(values)  # every statistic of the assay reads it again
     place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", "n_name")
     c = table(spark, d, "customer").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))  # nations: 25 rows
     o = c.select(F.col("c_custkey").alias("obs"), F.col("c_mktsegment").alias("grp"), F.col("r_name").alias("block")).join(library_size_factors(values), "obs")
@@ -81,6 +83,7 @@ def brand_by_customer(spark: SparkSession, d: str) -> Assay:
 def part_by_supplier(spark: SparkSession, d: str) -> Assay:
     """Quantity of each part per supplier; groups are regions, blocks are nations. Three cells in a hundred are filled."""
     values = table(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("feature"), F.col("l_suppkey").alias("obs")).agg(F.sum("l_quantity").alias("value"))
+    values = materialize(values)
     place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", "n_name")
     s = table(spark, d, "supplier").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))  # nations: 25 rows
     o = s.select(F.col("s_suppkey").alias("obs"), F.col("r_name").alias("grp"), F.col("n_name").alias("block")).join(library_size_factors(values), "obs", "left")
