@@ -62,9 +62,11 @@ def stored(spark: SparkSession, d: str) -> Assay:
     without a size factor get 1.
     """
     x = table(spark, d, "assay").filter("value is not null and not isnan(value)").groupBy("feature", "obs").agg(F.max("value").alias("value")).filter("value <> 0")
+    x = materialize(x)
     o = current_rows(table(spark, d, "observations"), ["obs"], "loaded_at", ["grp", "block", "size_factor"])
     label = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
-    return Assay(x, table(spark, d, "features"), o.select("obs", label("grp"), label("block"), F.coalesce("size_factor", F.lit(1.0)).alias("size_factor")))
+    o = materialize(o.select("obs", label("grp"), label("block"), F.coalesce("size_factor", F.lit(1.0)).alias("size_factor")))
+    return Assay(x, table(spark, d, "features"), o)
 
 
 def brand_by_customer(spark: SparkSession, d: str) -> Assay:
@@ -77,6 +79,7 @@ def brand_by_customer(spark: SparkSession, d: str) -> Assay:
     place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", "n_name")
     c = table(spark, d, "customer").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))  # nations: 25 rows
     o = c.select(F.col("c_custkey").alias("obs"), F.col("c_mktsegment").alias("grp"), F.col("r_name").alias("block")).join(library_size_factors(values), "obs")
+    o = materialize(o)
     return Assay(values, _indexed(table(spark, d, "part").select(F.col("p_brand").alias("feature"))), o)
 
 
@@ -87,6 +90,7 @@ def part_by_supplier(spark: SparkSession, d: str) -> Assay:
     place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", "n_name")
     s = table(spark, d, "supplier").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))  # nations: 25 rows
     o = s.select(F.col("s_suppkey").alias("obs"), F.col("r_name").alias("grp"), F.col("n_name").alias("block")).join(library_size_factors(values), "obs", "left")
+    o = materialize(o)
     feats = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("feature"), F.col("p_partkey").cast("int").alias("feature_idx"))
     return Assay(values, feats, o)
 
