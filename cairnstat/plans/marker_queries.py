@@ -13,8 +13,12 @@ from cairnstat.sources import assays, table
 GROUPS = ["amber", "basil", "cedar", "dune", "elm", "fjord", "grove", "heath"]
 
 
+#: Added before rounding to 6 decimals here and in the SQL: many means end in an exact half there, which engines round either way.
+NUDGE = 1e-9
+
+
 def _r(name: str, digits: int = 6):
-    return F.round(name, digits).alias(name)
+    return F.round(F.col(name) + NUDGE if digits == 6 else F.col(name), digits).alias(name)
 
 
 def moments_blocked(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +45,7 @@ def lognorm_moments_pseudo(spark: SparkSession, d: str) -> DataFrame:
 
 def cv2_blocked(spark: SparkSession, d: str) -> DataFrame:
     m = mo.moments(assays.brand_by_customer(spark, d).normalized(log=False), ["block"])
-    return m.select("feature", "block", _r("mean"), F.round(F.col("variance") / (F.col("mean") * F.col("mean")), 6).alias("cv2"))
+    return m.select("feature", "block", _r("mean"), F.round(F.col("variance") / (F.col("mean") * F.col("mean")) + NUDGE, 6).alias("cv2"))
 
 
 def size_factors(spark: SparkSession, d: str) -> DataFrame:
@@ -77,25 +81,25 @@ def _brand(spark: SparkSession, d: str):
 
 def cohen_d(spark: SparkSession, d: str) -> DataFrame:
     p = mk.pair_groups(mk.marker_moments(_brand(spark, d).normalized()), ["n", "mean", "variance"])
-    return p.select("feature", "block", "first", "second", F.round(mk.cohen_d(), 6).alias("logfc_cohen"))
+    return p.select("feature", "block", "first", "second", F.round(mk.cohen_d() + NUDGE, 6).alias("logfc_cohen"))
 
 
 def cohen_d_lfc(spark: SparkSession, d: str) -> DataFrame:
     p = mk.pair_groups(mk.marker_moments(_brand(spark, d).normalized()), ["n", "mean", "variance"])
-    return p.select("feature", "block", "first", "second", F.round(mk.cohen_d(0.5), 6).alias("logfc_cohen"))
+    return p.select("feature", "block", "first", "second", F.round(mk.cohen_d(0.5) + NUDGE, 6).alias("logfc_cohen"))
 
 
 def detection_lfc(spark: SparkSession, d: str) -> DataFrame:
     p = mk.pair_groups(mk.marker_moments(_brand(spark, d)), ["n", "detected"])
-    return p.select("feature", "block", "first", "second", F.round(mk.lfc_detected(), 6).alias("logfc_detected"))
+    return p.select("feature", "block", "first", "second", F.round(mk.lfc_detected() + NUDGE, 6).alias("logfc_detected"))
 
 
 def auc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return mk.overlaps(_brand(spark, d)).select("feature", "block", "first", "second", F.round(mk.auc(), 6).alias("auc"))
+    return mk.overlaps(_brand(spark, d)).select("feature", "block", "first", "second", F.round(mk.auc() + NUDGE, 6).alias("auc"))
 
 
 def auc_pairs_lfc(spark: SparkSession, d: str) -> DataFrame:
-    return mk.overlaps(_brand(spark, d), 5.0).select("feature", "block", "first", "second", F.round(mk.auc(), 6).alias("auc"))
+    return mk.overlaps(_brand(spark, d), 5.0).select("feature", "block", "first", "second", F.round(mk.auc() + NUDGE, 6).alias("auc"))
 
 
 _COLUMNS = [f"{s}_{e}" for e in mk.EFFECTS for s in ("mean", "median", "min", "max")]
@@ -380,3 +384,4 @@ SELECT grp, feature, round(p, 9) AS p_value, round(a, 9) AS any_p_value, round(b
   CASE WHEN p IS NOT NULL THEN round(least(1, min(p * m / r) OVER (PARTITION BY grp, p IS NULL ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) END AS fdr FROM k""",
     "marker_effects": f"WITH {_P} SELECT first AS grp, feature, second AS other, effect FROM pv",
 }
+SQL = {name: text.replace(", 6) AS ", " + 1e-9, 6) AS ") for name, text in SQL.items()}
