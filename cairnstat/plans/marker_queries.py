@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnstat.functions import testing
@@ -21,6 +23,11 @@ def _r(name: str, digits: int = 6):
     return F.round(F.col(name) + NUDGE if digits == 6 else F.col(name), digits).alias(name)
 
 
+def _p9(name: str, whole: bool):
+    """p-values to 9 decimals; over the whole table exact halves occur there too."""
+    return F.round(F.col(name) + (1e-13 if whole else 0.0), 9).alias(name)
+
+
 def moments_blocked(spark: SparkSession, d: str) -> DataFrame:
     """Mean and variance of every part in every nation's suppliers, zeros included."""
     m = mo.moments(assays.part_by_supplier(spark, d), ["block"])
@@ -151,29 +158,31 @@ def binom_effect(spark: SparkSession, d: str) -> DataFrame:
     return b.select("feature", "block", "first", "second", "detected_1", "detected_2", _r("logfc"))
 
 
-def _pvalues(spark: SparkSession, d: str) -> DataFrame:
-    """Stored pairwise p-values of the large groups against each other, current rows."""
-    p = table(spark, d, "pair_stats").filter(F.col("first").isin(GROUPS) & F.col("second").isin(GROUPS)).join(table(spark, d, "features").select("feature"), "feature")
+def _pvalues(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Stored pairwise p-values of the large groups against each other, or with ``whole`` of all groups; current rows."""
+    p = table(spark, d, "pair_stats")
+    p = p.filter("first <> '' and second <> ''") if whole else p.filter(F.col("first").isin(GROUPS) & F.col("second").isin(GROUPS))
+    p = p.join(table(spark, d, "features").select("feature"), "feature")
     now = current_rows(p, ["first", "second", "feature"], "loaded_at", ["effect", "p_value"])
     return now.select("first", "second", "feature", F.when(~F.isnan("effect"), F.col("effect")).alias("effect"), "p_value")
 
 
-def _combine(kind: str):
+def _combine(kind: str, whole: bool = False):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        c = mk.combine_markers(_pvalues(spark, d), table(spark, d, "features"), effect="effect", pval_type=kind)
+        c = mk.combine_markers(_pvalues(spark, d, whole), table(spark, d, "features"), effect="effect", pval_type=kind)
         top = ["top"] if kind == "any" else []
-        return c.select("grp", "feature", *top, _r("p_value", 9), _r("fdr", 9), _r("summary"), F.size("effects").alias("n_effects"))
+        return c.select("grp", "feature", *top, _p9("p_value", whole), _p9("fdr", whole), _r("summary"), F.size("effects").alias("n_effects"))
 
     query.__doc__ = f"Stored pairwise p-values combined per group, type {kind}."
     return query
 
 
-def _pair_bh(spark: SparkSession, d: str) -> DataFrame:
-    return testing.benjamini_hochberg(_pvalues(spark, d), "p_value", ["first", "second"], "fdr")
+def _pair_bh(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return testing.benjamini_hochberg(_pvalues(spark, d, whole), "p_value", ["first", "second"], "fdr")
 
 
-def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
-    return _pair_bh(spark, d).select("first", "second", "feature", _r("fdr", 9))
+def bh_adjust(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _pair_bh(spark, d, whole).select("first", "second", "feature", _p9("fdr", whole))
 
 
 def log_bh(spark: SparkSession, d: str) -> DataFrame:
@@ -192,36 +201,36 @@ def fisher_combine(spark: SparkSession, d: str) -> DataFrame:
     return testing.fisher(_pvalues(spark, d).filter("p_value > 0"), "p_value", ["first", "feature"], "p").select("first", "feature", _r("p", 9))
 
 
-def simes_combine(spark: SparkSession, d: str) -> DataFrame:
-    return testing.simes(_pvalues(spark, d), "p_value", ["first", "feature"], "p").select("first", "feature", _r("p", 9))
+def simes_combine(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return testing.simes(_pvalues(spark, d, whole), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", whole))
 
 
-def berger_combine(spark: SparkSession, d: str) -> DataFrame:
-    return testing.berger(_pvalues(spark, d), "p_value", ["first", "feature"], "p").select("first", "feature", _r("p", 9))
+def berger_combine(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return testing.berger(_pvalues(spark, d, whole), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", whole))
 
 
-def holm_combine(spark: SparkSession, d: str) -> DataFrame:
-    return testing.holm_middle(_pvalues(spark, d), "p_value", ["first", "feature"], "p").select("first", "feature", _r("p", 9))
+def holm_combine(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return testing.holm_middle(_pvalues(spark, d, whole), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", whole))
 
 
-def top_markers(spark: SparkSession, d: str) -> DataFrame:
-    return mk.top_markers(_pair_bh(spark, d), table(spark, d, "features"), 10, effect="effect")
+def top_markers(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return mk.top_markers(_pair_bh(spark, d, whole), table(spark, d, "features"), 10, effect="effect")
 
 
-def top_markers_combined(spark: SparkSession, d: str) -> DataFrame:
-    return mk.top_markers(_pair_bh(spark, d), table(spark, d, "features"), 3, False, "any", effect="effect")
+def top_markers_combined(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return mk.top_markers(_pair_bh(spark, d, whole), table(spark, d, "features"), 3, False, "any", effect="effect")
 
 
-def multi_marker_max(spark: SparkSession, d: str) -> DataFrame:
+def multi_marker_max(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     """The any and all combinations of the same pairs joined: worst p of both."""
     f = table(spark, d, "features")
-    one, two = (mk.combine_markers(_pvalues(spark, d), f, effect="effect", pval_type=k).select("grp", "feature", "p_value", "summary") for k in ("any", "all"))
+    one, two = (mk.combine_markers(_pvalues(spark, d, whole), f, effect="effect", pval_type=k).select("grp", "feature", "p_value", "summary") for k in ("any", "all"))
     m = mk.multi_markers({"any": one, "all": two})
-    return m.select("grp", "feature", _r("p_value", 9), _r("any_p_value", 9), _r("all_p_value", 9), _r("fdr", 9))
+    return m.select("grp", "feature", _p9("p_value", whole), _p9("any_p_value", whole), _p9("all_p_value", whole), _p9("fdr", whole))
 
 
-def marker_effects(spark: SparkSession, d: str) -> DataFrame:
-    c = mk.combine_markers(_pvalues(spark, d), table(spark, d, "features"), effect="effect")
+def marker_effects(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    c = mk.combine_markers(_pvalues(spark, d, whole), table(spark, d, "features"), effect="effect")
     return mk.marker_effects(c).select("grp", "feature", "other", "effect")
 
 
@@ -244,6 +253,8 @@ QUERIES = {
     "combine_any": _combine("any"), "combine_some": _combine("some"), "combine_all": _combine("all"),
     "bh_adjust": bh_adjust, "log_bh": log_bh, "bh_whole_table": bh_whole_table, "fisher_combine": fisher_combine, "simes_combine": simes_combine, "berger_combine": berger_combine, "holm_combine": holm_combine,
     "top_markers": top_markers, "top_markers_combined": top_markers_combined, "multi_marker_max": multi_marker_max, "marker_effects": marker_effects,
+    "combine_any_whole": _combine("any", True), "combine_some_whole": _combine("some", True), "combine_all_whole": _combine("all", True),
+    **{f"{q.__name__}_whole": partial(q, whole=True) for q in (bh_adjust, simes_combine, berger_combine, holm_combine, top_markers, top_markers_combined, multi_marker_max, marker_effects)},
     "find_markers_t": _find("t", "any"), "find_markers_wilcox": _find("wilcox", "some"), "find_markers_binom": _find("binom", "all"),
 }
 
@@ -385,3 +396,6 @@ SELECT grp, feature, round(p, 9) AS p_value, round(a, 9) AS any_p_value, round(b
     "marker_effects": f"WITH {_P} SELECT first AS grp, feature, second AS other, effect FROM pv",
 }
 SQL = {name: text.replace(", 6) AS ", " + 1e-9, 6) AS ") for name, text in SQL.items()}
+
+#: The same over all groups of pair_stats.
+SQL |= {name: SQL[name.removesuffix("_whole")].replace(f"first IN ({_G}) AND second IN ({_G})", "first <> '' AND second <> ''").replace(", 9) AS ", " + 1e-13, 9) AS ") for name in QUERIES if name.endswith("_whole")}
