@@ -368,7 +368,7 @@ def quick_sub_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 def clustered_pcs(spark: SparkSession, d: str) -> DataFrame:
     """Clusters found over growing numbers of components."""
-    best, tried = re.clustered_rank(materialize(_points(spark, d)), gr.cluster_points, 5, 10)
+    best, tried = re.clustered_rank(materialize(_points(spark, d)), gr.cluster_points)
     return spark.createDataFrame([(a, b, a == best) for a, b in tried], "components int, clusters int, chosen boolean")
 
 
