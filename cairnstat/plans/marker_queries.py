@@ -190,6 +190,12 @@ def log_bh(spark: SparkSession, d: str) -> DataFrame:
     return testing.benjamini_hochberg(x, "lp", ["first", "second"], "log_fdr", log=True).select("first", "second", "feature", _r("log_fdr"))
 
 
+def log_bh_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As `log_bh` over all groups; a p-value of 0 counts, with ln 0 as -infinity."""
+    x = _pvalues(spark, d, True).filter("p_value is not null").withColumn("lp", F.when(F.col("p_value") > 0, F.log("p_value")).otherwise(float("-inf")))
+    return testing.benjamini_hochberg(x, "lp", ["first", "second"], "log_fdr", log=True).select("first", "second", "feature", _r("log_fdr"))
+
+
 def bh_whole_table(spark: SparkSession, d: str) -> DataFrame:
     """One family over all current rows of pair_stats, without a window over all of them."""
     p = table(spark, d, "pair_stats").filter("first <> ''")
@@ -201,6 +207,11 @@ def fisher_combine(spark: SparkSession, d: str) -> DataFrame:
     return testing.fisher(_pvalues(spark, d).filter("p_value > 0"), "p_value", ["first", "feature"], "p").select("first", "feature", _r("p", 9))
 
 
+def fisher_combine_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As `fisher_combine` over all groups; a p-value of 0 makes the combined one 0."""
+    return testing.fisher(_pvalues(spark, d, True), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", True))
+
+
 def simes_combine(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     return testing.simes(_pvalues(spark, d, whole), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", whole))
 
@@ -255,6 +266,7 @@ QUERIES = {
     "top_markers": top_markers, "top_markers_combined": top_markers_combined, "multi_marker_max": multi_marker_max, "marker_effects": marker_effects,
     "combine_any_whole": _combine("any", True), "combine_some_whole": _combine("some", True), "combine_all_whole": _combine("all", True),
     **{f"{q.__name__}_whole": partial(q, whole=True) for q in (bh_adjust, simes_combine, berger_combine, holm_combine, top_markers, top_markers_combined, multi_marker_max, marker_effects)},
+    "log_bh_whole": log_bh_whole, "fisher_combine_whole": fisher_combine_whole,
     "find_markers_t": _find("t", "any"), "find_markers_wilcox": _find("wilcox", "some"), "find_markers_binom": _find("binom", "all"),
 }
 
@@ -397,5 +409,12 @@ SELECT grp, feature, round(p, 9) AS p_value, round(a, 9) AS any_p_value, round(b
 }
 SQL = {name: text.replace(", 6) AS ", " + 1e-9, 6) AS ") for name, text in SQL.items()}
 
+_ALL = ("first <> '' AND second <> ''", f"first IN ({_G}) AND second IN ({_G})")
 #: The same over all groups of pair_stats.
-SQL |= {name: SQL[name.removesuffix("_whole")].replace(f"first IN ({_G}) AND second IN ({_G})", "first <> '' AND second <> ''").replace(", 9) AS ", " + 1e-13, 9) AS ") for name in QUERIES if name.endswith("_whole")}
+SQL |= {name: SQL[old].replace(_ALL[1], _ALL[0]).replace(", 9) AS ", " + 1e-13, 9) AS ") for name in QUERIES if name.endswith("_whole") and (old := name.removesuffix("_whole")) not in ("log_bh", "fisher_combine")}
+#: Those that also count p-values of 0.
+SQL["log_bh_whole"] = f"""WITH {_P.replace(_ALL[1], _ALL[0])}, l AS (SELECT *, CASE WHEN p_value > 0 THEN ln(p_value) ELSE CAST('-infinity' AS DOUBLE) END AS p,
+  row_number() OVER (PARTITION BY first, second ORDER BY p_value) AS r, count(*) OVER (PARTITION BY first, second) AS m FROM pv WHERE p_value IS NOT NULL)
+SELECT first, second, feature, round(least(0, min(p + ln(m / r)) OVER (PARTITION BY first, second ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) + 1e-9, 6) AS log_fdr FROM l"""
+SQL["fisher_combine_whole"] = f"""WITH {_P.replace(_ALL[1], _ALL[0])}, s AS (SELECT first, feature, -sum(CASE WHEN p_value > 0 THEN ln(p_value) END) AS y, count(*) AS k, min(p_value) AS low FROM pv WHERE p_value IS NOT NULL GROUP BY 1, 2)
+SELECT first, feature, round(CASE WHEN low = 0 THEN 0 WHEN y <= 0 THEN 1 ELSE least(1, (SELECT sum(exp(j * ln(y) - lgamma(j + 1) - y)) FROM range(0, 1000) t(j) WHERE j < k)) END + 1e-13, 9) AS p FROM s"""
