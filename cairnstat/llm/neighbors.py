@@ -34,7 +34,11 @@ PROJECTIONS = 16
 #: Rows the trees are fitted on, at most (expected number; they only place the cell borders).
 SAMPLE = 32_768
 CELL = 16_384
+#: Rows of one cell that one task holds; a cell with more is searched block by block against all its queries.
+MOST_CELL = 4 * CELL
 LEAF = 256
+#: Decimals of a similarity. It is a sum of float64 products in a fixed order, so it is the same wherever a pair meets.
+DECIMALS = 6
 #: Probability behind the chi-square quantile of the stopping test.
 CONFIDENCE = 0.99
 
@@ -129,7 +133,7 @@ class Tree:
 
 def fit_trees(spark_sample: np.ndarray, rows: int, trees: int, cell: int, seed: int, projections: int = PROJECTIONS) -> list[Tree]:
     depth = max(0, math.ceil(math.log2(max(rows, 1) / cell)))
-    depth = min(depth, max(0, int(math.log2(max(len(spark_sample), 1) / 16))))
+    depth = min(depth, max(0, int(math.log2(max(len(spark_sample), 1) / 4))))
     out = []
     for t in range(trees):
         m = np.random.default_rng([seed, t]).standard_normal((spark_sample.shape[1], projections)).astype(np.float32)
@@ -158,8 +162,11 @@ def local_search(data: np.ndarray, ids: np.ndarray, proj: np.ndarray, query: np.
 
     Leaves of a kd-tree over ``proj`` are taken by projected distance; a query
     rests once the next leaf fails the chi-square test for its k-th best so
-    far. Equal similarities: smaller id first. A query never meets its own id.
+    far. Blocks are compared in float32; what is kept, with some to spare, is
+    compared again in float64, so the outcome does not depend on how rows were
+    blocked. Equal similarities: smaller id first. A query never meets its own id.
     """
+    spare = k + 3
     n, depth = len(data), max(0, math.ceil(math.log2(max(len(data), 1) / LEAF)))
     parts = [np.arange(n)]
     for _ in range(depth):
@@ -188,7 +195,7 @@ def local_search(data: np.ndarray, ids: np.ndarray, proj: np.ndarray, query: np.
             bound += np.maximum(np.maximum(low[None, :, d] - x, x - high[None, :, d]), 0) ** 2
         turn = np.argsort(bound.min(axis=0), kind="stable")
         best = floor[rows].astype(np.float64)  # similarity to beat or equal
-        kept = (np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0, np.float32))
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         at, step = 0, 1
         while at < len(turn):
             leaves = turn[at : at + step]
@@ -207,16 +214,22 @@ def local_search(data: np.ndarray, ids: np.ndarray, proj: np.ndarray, query: np.
             a, b = a[new], b[new]
             if not len(a):
                 continue
-            r, i, v = np.concatenate([kept[0], live[a]]), np.concatenate([kept[1], ids[cols[b]]]), np.concatenate([kept[2], s[a, b]])
-            o = np.lexsort((i, -v, r))
+            r, i, v = np.concatenate([kept[0], live[a]]), np.concatenate([kept[1], cols[b]]), np.concatenate([kept[2], s[a, b]])
+            o = np.lexsort((ids[i], -v, r))
             r, i, v = r[o], i[o], v[o]
-            first = np.searchsorted(r, r, side="left")
-            place = np.arange(len(r)) - first
-            keep = place < k
+            place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+            keep = place < spare
             kth = place == k - 1
             best[r[kth]] = np.maximum(best[r[kth]], v[kth])
             kept = (r[keep], i[keep], v[keep])
-        found.append((rows[kept[0]], kept[1], kept[2]))
+        r, i = kept[0], kept[1]
+        v = np.round((q[r].astype(np.float64) * data[i].astype(np.float64)).sum(axis=1), DECIMALS)
+        fits = v >= floor[rows][r]
+        r, i, v = r[fits], ids[i[fits]], v[fits]
+        o = np.lexsort((i, -v, r))
+        r, i, v = r[o], i[o], v[o]
+        keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+        found.append((rows[r[keep]], i[keep], v[keep]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, ids.dtype), np.zeros(0)
     return tuple(np.concatenate([f[j] for f in found]) for j in range(3))
@@ -226,7 +239,12 @@ _RESULT = "q bigint, nb bigint, sim double"
 
 
 def _search(placed: DataFrame, trees: list[Tree], k: int, dimension: int, quantile: float) -> DataFrame:
-    """Search every (tree, cell): ``placed`` has tree, cell, id, v, role (1 data, 2 query, 3 both) and floor."""
+    """Search every (tree, cell): ``placed`` has tree, cell, id, v, role (1 data, 2 query, 3 both) and floor.
+
+    A cell with more than MOST_CELL rows is cut into blocks by a hash of the
+    id: each row is data in one block and a query in all of them, so no task
+    holds more than a block and its share of queries, and no pair is lost.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         tree = trees[group.column("tree")[0].as_py()]
@@ -237,11 +255,20 @@ def _search(placed: DataFrame, trees: list[Tree], k: int, dimension: int, quanti
         if not data.any() or not query.any():
             return pa.table({"q": pa.array([], pa.int64()), "nb": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
         rows, nb, sim = local_search(x[data], ids[data], p[data], x[query], ids[query], p[query], k, floor[query], quantile)
-        return pa.table({"q": ids[query][rows], "nb": nb, "sim": sim.astype(np.float64)})
+        return pa.table({"q": ids[query][rows], "nb": nb, "sim": sim})
 
     # cells are much work for few bytes: partitions are set by their number and not merged by size
     tasks = max(parallelism(placed.sparkSession), len(trees) * 2 ** trees[0].depth // 2)
-    return placed.repartition(tasks, "tree", "cell").groupBy("tree", "cell").applyInArrow(run, _RESULT)
+    large = placed.groupBy("tree", "cell").agg(F.count("*").alias("__n")).filter(F.col("__n") > MOST_CELL)
+    large = materialize(large.select("tree", "cell", F.ceil(F.col("__n") / (MOST_CELL // 2)).cast("int").alias("__parts")))
+    if large.isEmpty():
+        return placed.repartition(tasks, "tree", "cell").groupBy("tree", "cell").applyInArrow(run, _RESULT)
+    cut = placed.join(large, ["tree", "cell"], "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")
+    # a query is searched in blocks too: its block of queries meets every block of data
+    data = cut.filter("role & 1 = 1").withColumn("role", F.lit(1)).withColumn("__d", own).withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    query = cut.filter("role & 2 = 2").withColumn("role", F.lit(2)).withColumn("__q", own).withColumn("__d", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    return data.unionByName(query).repartition(tasks, "tree", "cell", "__q", "__d").groupBy("tree", "cell", "__q", "__d").applyInArrow(run, _RESULT)
 
 
 def _place(vectors: DataFrame, trees: list[Tree], dimension: int) -> DataFrame:
@@ -277,7 +304,10 @@ def _probe(queries: DataFrame, tree: Tree, dimension: int, quantile: float) -> D
 
 
 def _merge(found: DataFrame, k: int, most: int) -> DataFrame:
-    """The ``k`` best distinct neighbours of every query: (q, best: array of struct(s, nb)), s the negated similarity."""
+    """The ``k`` best distinct neighbours of every query: (q, best: array of struct(s, nb)), s the negated similarity.
+
+    A pair has the same similarity in every tree, so equal entries are the same neighbour.
+    """
     e = F.struct((-F.col("sim")).alias("s"), "nb")
     return found.groupBy("q").agg(F.slice(F.array_distinct(heap(e, most)), 1, k).alias("best"))
 
@@ -306,7 +336,7 @@ def similar_classes(classes: DataFrame, k: int, floor: float = -1.0, trees: int
     asked = asked.select("id", "v", F.lit(2).alias("role"), F.greatest(F.coalesce("__kth", F.lit(float(floor))), F.lit(float(floor))).alias("floor"))
     data = _place(classes.select("id", "v", F.lit(1).alias("role"), F.lit(1.0).alias("floor")), fitted[:1], dimension)
     more = _search(data.unionByName(_probe(asked, fitted[0], dimension, quantile)), fitted[:1], k, dimension, quantile)
-    return _merge(found.unionByName(more), k, k * (trees + 2**fitted[0].depth))
+    return _merge(found.unionByName(more), k, k * (trees + 1))
 
 
 def member_neighbors(best: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -333,11 +363,12 @@ def close_pairs(units: DataFrame, k: int, floor: float, trees: int = 6, dimensio
     best = similar_classes(classes, k, floor, trees, dimension=dimension)
     members = classes.select("id", F.explode("members").alias("obs"))
     near = member_neighbors(best, classes, members, k)
-    both = near.filter(F.col("similarity") >= floor).groupBy(F.least("obs", "neighbor").alias("obs_a"), F.greatest("obs", "neighbor").alias("obs_b")).agg(F.count("*").alias("c"))
-    return both.filter("c = 2").select("obs_a", "obs_b")
+    sides = near.filter(F.col("similarity") >= floor).withColumn("up", F.col("obs") < F.col("neighbor"))
+    both = sides.groupBy(F.least("obs", "neighbor").alias("obs_a"), F.greatest("obs", "neighbor").alias("obs_b")).agg(F.bool_or("up").alias("a"), F.bool_or(~F.col("up")).alias("b"))
+    return both.filter("a and b").select("obs_a", "obs_b")
 
 
-def nearest(units: DataFrame, queries: DataFrame, k: int, dimension: int = DIMENSION, confidence: float = 0.95, cell: int = 65_536) -> DataFrame:
+def nearest(units: DataFrame, queries: DataFrame, k: int, dimension: int = DIMENSION, confidence: float = 0.95, cell: int = CELL) -> DataFrame:
     """(obs, neighbor, similarity, place): the ``k`` most similar keys of each key in ``queries`` (obs), among all of ``units``.
 
     The search is approximate: each cell border is crossed with a probability

@@ -65,7 +65,7 @@ def p4_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar observations of every observation whose number is divisible by 20, among all observations."""
     units = _units(spark, d)
     near = nearest(units, units.filter("obs % 20 = 0"), NEIGHBORS)
-    return near.select("obs", "neighbor", F.round("similarity", 5).alias("similarity"), "place")
+    return near.select("obs", "neighbor", "similarity", "place")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +155,13 @@ q AS (SELECT *, (rank() OVER w - 1 + count(*) OVER (PARTITION BY grp, i, v) / 2.
   FROM l WHERE v IS NOT NULL WINDOW w AS (PARTITION BY grp, i ORDER BY v)),
 z AS (SELECT grp, feature, avg({quantile_sql('q')}) AS combined, count(*) AS n_scores FROM q GROUP BY grp, feature)"""
 
+# every pair of unit vectors in single precision, as the operator compares them
+_P4 = f"""WITH u AS (SELECT obs, [x / n FOR x IN pc]::FLOAT[]::DOUBLE[] AS v FROM (
+  SELECT DISTINCT obs, pc, sqrt(list_sum([x * x FOR x IN pc])) AS n FROM pcs WHERE len(pc) = 64
+  AND len([1 FOR x IN pc IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([1 FOR x IN pc IF x <> 0]) > 0)),
+r AS (SELECT a.obs AS obs, b.obs AS neighbor, round(list_inner_product(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.obs <> b.obs WHERE {{asked}}),
+near AS (SELECT obs, neighbor, greatest(-1, least(1, s)) AS s, row_number() OVER (PARTITION BY obs ORDER BY s DESC, neighbor) AS place FROM r QUALIFY place <= {NEIGHBORS})"""
+
 QUERIES = {
     "p1_found": p1_found, "p1_top_effects": p1_top_effects, "p2_found": p2_found, "p2_ranking": p2_ranking,
     "p4_found": p4_found, "p4_neighbors": p4_neighbors,
@@ -166,6 +173,8 @@ QUERIES = {
 SQL = {
     "p1_found": f"{_P1} SELECT first, second, feature FROM r WHERE place <= {TOP_PER_GROUP}",
     "p1_top_effects": f"{_P1} SELECT first, second, feature, effect, CAST(place AS INT) AS place FROM r WHERE place <= {TOP_PER_GROUP}",
+    "p4_found": f"{_P4.format(asked='true')} SELECT a.obs AS obs_a, a.neighbor AS obs_b FROM near a JOIN near b ON a.obs = b.neighbor AND a.neighbor = b.obs WHERE a.obs < a.neighbor AND a.s >= {CLOSE}",
+    "p4_neighbors": f"{_P4.format(asked='a.obs % 20 = 0')} SELECT obs, neighbor, s AS similarity, CAST(place AS INT) AS place FROM near",
     "p2_found": f"{_P2}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY combined DESC, feature) AS k FROM z) SELECT grp, feature FROM r WHERE k <= {LEADERS}",
     "p2_ranking": f"{_P2} SELECT now.grp AS grp, now.feature AS feature, round(combined, 6) AS combined, coalesce(n_scores, 0) AS n_scores "
     "FROM now LEFT JOIN z ON now.grp IS NOT DISTINCT FROM z.grp AND now.feature = z.feature",

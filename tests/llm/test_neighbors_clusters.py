@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from oracle import assert_same
 from pyspark.sql import functions as F
 
 from cairnstat.llm import clusters, neighbors as nn, queries
@@ -32,6 +33,11 @@ def _brute(x, k):
     return s, [np.lexsort((np.arange(len(u)), -r))[:k].tolist() for r in s]
 
 
+@pytest.mark.parametrize("name", ["p4_found", "p4_neighbors"])
+def test_against_sql(spark, name):
+    assert assert_same(spark, queries.QUERIES[name], queries.SQL[name], "/root/testdata/sf0.01") > 50
+
+
 def test_pairs_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, D))
@@ -44,6 +50,29 @@ def test_pairs_against_brute_force(spark):
     assert len(want & got) > 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_large_cells_are_searched_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1200, D))
+    x[:400] = x[400:800] + rng.standard_normal((400, D)) * 0.05
+    units = nn.unit_vectors(_frame(spark, x), "obs", "pc", D)
+    want = {tuple(r) for r in nn.close_pairs(units, 5, 0.97, dimension=D).collect()}
+    monkeypatch.setattr(nn, "MOST_CELL", 200)
+    got = {tuple(r) for r in nn.close_pairs(units.repartition(3, "v"), 5, 0.97, dimension=D).collect()}
+    assert got == want and len(got) > 300
+
+
+def test_similarity_does_not_depend_on_blocks():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((700, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("<f4")
+    ids, p = np.arange(700), x[:, :16].copy()
+    floor = np.full(700, -1.0)
+    whole = nn.local_search(x, ids, p, x, ids, p, 5, floor, 1e9)
+    one = [nn.local_search(x, ids, p, x[i : i + 1], ids[i : i + 1], p[i : i + 1], 5, floor[:1], 1e9) for i in range(0, 700, 7)]
+    pairs = {(q, n): s for q, n, s in zip(*whole)}
+    assert all(pairs[7 * j, n] == s for j, part in enumerate(one) for _, n, s in zip(*part))
+
+
 @pytest.mark.parametrize("cell", [200, 100_000])
 def test_recall_over_cells(spark, cell):
     rng = np.random.default_rng(5)
