@@ -317,13 +317,15 @@ def similar_classes(classes: DataFrame, k: int, floor: float = -1.0, trees: int
 
     Only similarities of at least ``floor`` count. With ``probe``, queries also
     visit the cells beyond their own that the test does not rule out.
-    ``classes`` is a stored table with bigint id and v. Sample-fitted borders
-    keep cells near ``cell`` rows; every row is searched.
+    ``classes`` is a stored table with bigint id and v, and may say in ``role``
+    which rows are data (1), queries (2) or both (3, the default); an id is
+    unique within a role. Sample-fitted borders keep cells near ``cell`` rows;
+    every row is searched.
     """
     rows = classes.count()
     quantile = chi_square_quantile(confidence, PROJECTIONS)
     fitted = fit_trees(sample_vectors(classes, rows, dimension), rows, trees, cell, seed)
-    base = classes.select("id", "v", F.lit(3).alias("role"), F.lit(float(floor)).alias("floor"))
+    base = classes.select("id", "v", (F.col("role") if "role" in classes.columns else F.lit(3)).alias("role"), F.lit(float(floor)).alias("floor"))
     if queries is not None:
         wanted = queries.select(F.col("id"), F.lit(3).alias("__r"))
         base = classes.join(wanted, "id", "left").select("id", "v", F.coalesce("__r", F.lit(1)).alias("role"), F.lit(float(floor)).alias("floor"))

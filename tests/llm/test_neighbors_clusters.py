@@ -99,9 +99,8 @@ def test_copies_and_small_inputs(spark):
     assert clusters.cluster_members(clusters.cluster_vectors(none, dimension=D), none).count() == 0
 
 
-@pytest.mark.parametrize("local", [0, 200_000])
-def test_clusters(spark, monkeypatch, local):
-    monkeypatch.setattr(clusters, "LOCAL_EDGES", local)
+@pytest.mark.parametrize("shift", [0, -(1 << 62)])
+def test_clusters(spark, shift):
     d = 32
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((6, d))
@@ -112,7 +111,7 @@ def test_clusters(spark, monkeypatch, local):
     truth = np.concatenate([np.repeat(np.arange(6), sizes), np.full(150, -1), np.full(7, 6)])
     order = rng.permutation(len(x))
     x, truth = x[order], truth[order]
-    units = nn.unit_vectors(_frame(spark, x), "obs", "pc", d)
+    units = nn.unit_vectors(_frame(spark, x, np.arange(len(x)) + shift), "obs", "pc", d)
     c = clusters.cluster_vectors(units, dimension=d)
     got = {}
     for r in clusters.cluster_members(c, units).collect():
@@ -124,7 +123,7 @@ def test_clusters(spark, monkeypatch, local):
         for _ in range(10):
             mean = u[m].sum(axis=0)
             m = np.flatnonzero(u @ mean >= 0.75 * np.linalg.norm(mean))
-        want.add(frozenset(m.tolist()))
+        want.add(frozenset((m + shift).tolist()))
     assert {frozenset(v) for v in got.values()} == want
     assert all(k == min(v) for k, v in got.items())
     summary = {r.cluster_obs: r for r in clusters.cluster_summary(c).collect()}
@@ -132,9 +131,7 @@ def test_clusters(spark, monkeypatch, local):
     assert all(set(r.exemplars) <= got[k] for k, r in summary.items())
 
 
-@pytest.mark.parametrize("local", [0, 1000])
-def test_spanning_forest_matches_kruskal(spark, monkeypatch, local):
-    monkeypatch.setattr(clusters, "LOCAL_EDGES", local)
+def test_spanning_forest_matches_kruskal(spark):
     rng = np.random.default_rng(7)
     n, edges = 60, {}
     for a, b in rng.integers(0, 60, (200, 2)):
@@ -159,6 +156,91 @@ def test_spanning_forest_matches_kruskal(spark, monkeypatch, local):
     assert got == want
 
 
+def _condensed(n, edges, smallest, loosest, densest):
+    """The same hierarchy by plain union-find: {cluster members}, from nodes with members, stability and parts."""
+    strength = clusters._strength
+    comp = {i: {"m": [i], "node": None} for i in range(n)}
+    of, nodes, joined = list(range(n)), [], {}
+
+    def close(node, at):
+        node["own"] = node["s1"] - node["size"] * at
+        node["best"] = max(node["own"], node["parts"])
+        return node
+
+    for (a, b), w in edges:
+        p, q = of[a], of[b]
+        if p == q:
+            continue
+        at = strength(min(w, densest))
+        x, y = comp[p], comp[q]
+        both = x["m"] + y["m"]
+        if x["node"] is None and y["node"] is None:
+            node = None
+            if len(both) >= smallest:
+                node = {"s1": len(both) * at, "size": len(both), "parts": 0.0, "kids": [], "m": list(both)}
+                nodes.append(node)
+        elif x["node"] is None or y["node"] is None:
+            big, small = (x, y) if y["node"] is None else (y, x)
+            node = big["node"]
+            node["s1"] += len(small["m"]) * at
+            node["size"] += len(small["m"])
+            node["m"] += small["m"]
+        else:
+            kids = [close(x["node"], at), close(y["node"], at)]
+            node = {"s1": len(both) * at, "size": len(both), "parts": sum(k["best"] for k in kids), "kids": kids, "m": list(both)}
+            nodes.append(node)
+        comp[p] = {"m": both, "node": node}
+        for i in y["m"]:
+            of[i] = p
+    out = set()
+
+    def take(node):
+        if node["own"] >= node["parts"]:
+            out.add(frozenset(node["m"]))
+        else:
+            for k in node["kids"]:
+                take(k)
+
+    for p in set(of):
+        if comp[p]["node"]:
+            take(close(comp[p]["node"], strength(loosest)))
+    return out
+
+
+def test_condensed_tree_against_union_find(spark):
+    rng = np.random.default_rng(12)
+    n, pairs = 400, {}
+    for c in range(8):  # groups with dense kernels, a few links between groups
+        at = range(c * 50, c * 50 + 50)
+        for a, b in rng.integers(c * 50, c * 50 + 50, (260, 2)):
+            if a != b:
+                core = (a % 50 < 15) and (b % 50 < 15) or (a % 50 >= 35) and (b % 50 >= 35)
+                pairs[min(a, b), max(a, b)] = float(rng.uniform(0.8, 0.93) if core else rng.uniform(0.46, 0.6))
+    for a, b in rng.integers(0, n, (40, 2)):
+        if a != b:
+            pairs.setdefault((min(a, b), max(a, b)), float(rng.uniform(0.46, 0.6)))
+    vertices = spark.createDataFrame([(i, 1) for i in range(n)], "id long, n long")
+    frame = spark.createDataFrame([(int(a), int(b), w) for (a, b), w in pairs.items()], "a long, b long, w double")
+    h = clusters.density_clusters(vertices, frame, densest=0.95)
+    got = {}
+    for r in h.labels.filter("cluster is not null").collect():
+        got.setdefault(r.cluster, set()).add(r.id)
+    want = _condensed(n, sorted(pairs.items(), key=lambda e: -e[1]), clusters.SMALLEST, clusters.LOOSEST, 0.95)
+    assert len(want) > 8 and {frozenset(v) for v in got.values()} == want
+
+
+def test_long_chains_keep_their_order(spark):
+    n = 300  # every edge is less dense than the one before: each vertex points at its predecessor
+    vertices = spark.createDataFrame([(i, 1) for i in range(n)], "id long, n long")
+    edges = [((i, i + 1), 0.9 - 0.4 * i / n) for i in range(n - 1)]
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in edges], "a long, b long, w double")
+    h = clusters.density_clusters(vertices, frame, densest=0.95)
+    got = {r.id: r.strength for r in h.labels.collect()}
+    assert len(got) == n and h.nodes.count() == 1 and h.tree.count() == n - 1
+    at = [clusters._strength(w) for _, w in edges]
+    assert all(abs(got[i] - (at[max(i - 1, 3)])) < 1e-12 for i in range(n))
+
+
 def test_queries(spark):
     d = "/root/testdata/sf0.001"
     found = queries.p5_found(spark, d).collect()
