@@ -18,15 +18,18 @@ LARGE = 50_000
 def average_percentile(long: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: (average rank of ``value`` within its group - 0.5) / group size.
 
-    A group with more than its fair share of rows is ranked in pieces: cut
-    points of its values, at most PIECES for each of at most 4 times as many
-    groups as there are tasks, divide it, and each piece adds the number of
-    rows below it. ``value`` is neither NULL nor NaN. A group of one gets 0.5.
+    Rows are first counted per distinct value, so any number of equal values
+    is one row from then on; ranks are taken over distinct values and joined
+    back. A group with more than its fair share of distinct values is ranked
+    in pieces: cut points of its values, at most PIECES for each of at most 4
+    times as many groups as there are tasks, divide it, and each piece adds
+    the number of rows below it. ``value`` is neither NULL nor NaN. A group of
+    one gets 0.5.
     """
     spark = long.sparkSession
     long = materialize(long)
-    cols = long.columns
     gs = [f"__g{i}" for i in range(len(group))]
+    named_as = [F.col(g).alias(a) for g, a in zip(group, gs)]
 
     def same(left: list[str]) -> Column:
         on = F.lit(True)
@@ -34,37 +37,35 @@ def average_percentile(long: DataFrame, group: list[str], value: str, out: str)
             on = on & F.col(g).eqNullSafe(F.col(a))
         return on
 
-    sizes = materialize(long.groupBy(*[F.col(g).alias(a) for g, a in zip(group, gs)]).agg(F.count("*").alias("__n")))
+    each = materialize(long.groupBy(*named_as, F.col(value).alias("__x")).agg(F.count("*").alias("__c")))
+    sizes = materialize(each.groupBy(*gs).agg(F.count("*").alias("__n"), F.sum("__c").alias("__size")))
     rows = sizes.agg(F.sum("__n")).first()[0] or 0
     # at most 4 * parallelism groups can be above this
-    hot = sizes.filter(F.col("__n") > max(rows // (4 * parallelism(spark)), LARGE)).collect()
+    hot = sizes.filter(F.col("__n") > max(rows // (4 * parallelism(spark)), LARGE)).drop("__n", "__size").collect()
     if hot:
-        named = F.broadcast(spark.createDataFrame(hot, sizes.schema).drop("__n"))
-        cuts = long.join(named, same(group)).groupBy(*gs).agg(F.percentile_approx(value, [i / PIECES for i in range(1, PIECES)], ACCURACY).alias("__cuts"))
+        keys = [f"{a}k" for a in gs]
+        rename = lambda df: df.select(*[F.col(a).alias(k) for a, k in zip(gs, keys)], *[c for c in df.columns if c not in gs])
+        few = F.broadcast(rename(spark.createDataFrame(hot, sizes.select(*gs).schema)))
+        cuts = each.join(few, same(keys)).groupBy(*gs).agg(F.percentile_approx("__x", [i / PIECES for i in range(1, PIECES)], ACCURACY).alias("__cuts"))
         known = spark.createDataFrame(cuts.collect(), cuts.schema)
-        x = long.join(F.broadcast(known), same(group), "left")
-        x = x.withColumn("__p", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))).drop("__cuts", *gs)
+        x = each.join(F.broadcast(rename(known)), same(keys), "left").drop(*keys)
+        x = x.withColumn("__p", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__x"))), F.lit(0))).drop("__cuts")
     else:
-        x = long.withColumn("__p", F.lit(0))
-    piece = Window.partitionBy(*group, "__p")
-    ordered = piece.orderBy(value)
-    x = x.withColumn("__below", F.rank().over(ordered) - 1).withColumn("__peers", F.count("*").over(ordered.rangeBetween(0, 0)))
-    x = x.withColumn("__size", F.count("*").over(piece))
+        x = each.withColumn("__p", F.lit(0))
+    before = Window.partitionBy(*gs, "__p").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__below", F.coalesce(F.sum("__c").over(before), F.lit(0)))
     if hot:
-        per = Window.partitionBy(*gs)
-        counts = (
-            x.groupBy(*[F.col(g).alias(a) for g, a in zip(group, gs)], F.col("__p").alias("__cp"))
-            .agg(F.count("*").alias("__c"))
-        )
-        also = F.lit(True)
-        for a in gs:
-            also = also & F.col(a).eqNullSafe(F.col(f"{a}k"))
-        counts = counts.join(F.broadcast(known.select(*[F.col(a).alias(f"{a}k") for a in gs])), also, "left_semi")
-        before = per.orderBy("__cp").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select(*gs, "__cp", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"), F.sum("__c").over(per).alias("__all"))
-        x = x.join(F.broadcast(offsets), (F.col("__p") == F.col("__cp")) & same(group), "left")
-        x = x.withColumn("__below", F.col("__below") + F.coalesce("__off", F.lit(0))).withColumn("__size", F.coalesce("__all", "__size"))
-    return x.select(*cols, ((F.col("__below") + F.col("__peers") / 2.0) / F.col("__size")).alias(out))
+        counts = x.join(few, same(keys), "left_semi").groupBy(*gs, "__p").agg(F.sum("__c").alias("__pc"))
+        earlier = Window.partitionBy(*gs).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = rename(counts.select(*gs, F.col("__p").alias("__cp"), F.coalesce(F.sum("__pc").over(earlier), F.lit(0)).alias("__off")))
+        x = x.join(F.broadcast(offsets), (F.col("__p") == F.col("__cp")) & same(keys), "left").withColumn("__below", F.col("__below") + F.coalesce("__off", F.lit(0))).drop(*keys)
+    # sizes join on the group, ranks on (group, value)
+    total = sizes.select(*[F.col(a).alias(f"{a}s") for a in gs], "__size")
+    on = F.lit(True)
+    for a in gs:
+        on = on & F.col(a).eqNullSafe(F.col(f"{a}s"))
+    ranked = x.join(total, on).select(*gs, "__x", ((F.col("__below") + F.col("__c") / 2.0) / F.col("__size")).alias(out))
+    return long.join(ranked, same(group) & (F.col(value) == F.col("__x"))).select(*long.columns, out)
 
 
 def fused_ranking(df: DataFrame, group: list[str], item: list[str], scores: dict[str, tuple[bool, float]]) -> DataFrame:
@@ -74,7 +75,8 @@ def fused_ranking(df: DataFrame, group: list[str], item: list[str], scores: dict
     empirical percentile within the group, ties averaged, then a normal
     deviate; the weighted mean over the scores present is the combined score.
     NULL and NaN scores count neither for nor against an item; an item without
-    any has ``combined`` NULL. Infinite scores take the extreme ranks. (group,
+    any has ``combined`` NULL. It is kept to 12 decimals, so that the order in
+    which scores are added up never parts equal items. Infinite scores take the extreme ranks. (group,
     item) is unique. NULL in a group column is a group of its own. An empty
     table gives an empty result; other columns are dropped.
     """
@@ -89,4 +91,4 @@ def fused_ranking(df: DataFrame, group: list[str], item: list[str], scores: dict
     # items without any score come back from the unranked side
     both = z.unionByName(long.filter("__v is null").select(*group, *item, F.lit(0.0).alias("__w"), F.lit(0.0).alias("__z")))
     out = both.groupBy(*group, *item).agg(F.sum(F.col("__w") * F.col("__z")).alias("__t"), F.sum("__w").alias("__d"), F.count_if(F.col("__w") > 0).alias("n_scores"))
-    return out.select(*group, *item, F.when(F.col("__d") > 0, F.col("__t") / F.col("__d")).alias("combined"), "n_scores")
+    return out.select(*group, *item, F.when(F.col("__d") > 0, F.round(F.col("__t") / F.col("__d"), 12)).alias("combined"), "n_scores")

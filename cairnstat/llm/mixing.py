@@ -21,7 +21,8 @@ from cairnstat.session import parallelism
 
 BLOCK_TOKENS = 256
 SHARD_SLOTS = 1024
-MOST_SHARDS = 4096
+#: Shards of one part of the mixture. A part is planned in one task, the parts on the driver (one row a part).
+PART_SHARDS = 64
 
 
 @dataclass(frozen=True)
@@ -69,22 +70,24 @@ def plan_sources(targets: list[tuple[str, float, int]], tokens: dict[str, int],
     return out
 
 
-def draw_counts(slots: list[int], seed: int) -> tuple[np.ndarray, int]:
-    """Slots of each source in each shard; the columns add up to ``slots``. At most MOST_SHARDS rows."""
+def draw_counts(slots: list[int], seed: list[int], per: int) -> np.ndarray:
+    """Slots of each source in each run of ``per`` slots; the columns add up to ``slots``.
+
+    Each run is a multinomial draw over what is still owed to each source; a
+    draw beyond that is drawn again among the others.
+    """
     rng = np.random.default_rng(seed)
     owed = np.array(slots, np.int64)
-    per = max(SHARD_SLOTS, -(-int(owed.sum()) // MOST_SHARDS))
     rows = []
     while owed.sum():
         n = min(per, int(owed.sum()))
         got = np.minimum(rng.multinomial(n, owed / owed.sum()), owed)
         while got.sum() < n:
             rest = owed - got
-            more = np.minimum(rng.multinomial(n - got.sum(), rest / rest.sum()), rest)
-            got += more
+            got = got + np.minimum(rng.multinomial(n - got.sum(), rest / rest.sum()), rest)
         rows.append(got)
         owed = owed - got
-    return np.array(rows, np.int64).reshape(-1, len(slots)), per
+    return np.array(rows, np.int64).reshape(-1, len(slots))
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -121,8 +124,11 @@ def blocks_of(sizes: DataFrame, key: str, source: str, size: str, rows: int, blo
 
 
 def slots_of(spark, sources: list[Source], seed: int) -> DataFrame:
-    """(source, block, shard, slot, epoch): the slots of the mixture, made in parallel from one row per shard and source."""
-    counts, _ = draw_counts([s.slots for s in sources], seed)
+    """(source, block, shard, slot, epoch): the slots of the mixture, made in parallel from one row per part.
+
+    Parts and shards have the same size however large the mixture is.
+    """
+    counts = draw_counts([s.slots for s in sources], [seed], SHARD_SLOTS * PART_SHARDS)
     base = np.cumsum(counts, axis=0) - counts
     rows = [(h, [int(c) for c in counts[h]], [int(b) for b in base[h]]) for h in range(len(counts))]
     names = [s.name for s in sources]
@@ -131,20 +137,22 @@ def slots_of(spark, sources: list[Source], seed: int) -> DataFrame:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                which = np.repeat(np.arange(len(names)), r["counts"])
-                draw = np.concatenate([np.arange(o, o + c) for o, c in zip(r["base"], r["counts"])] or [np.zeros(0, np.int64)])
-                epoch, index = draw // n_blocks[which], draw % n_blocks[which]
-                block = permute(index, n_blocks[which], (np.int64(seed) << 40) + which * 1_000_003 + epoch * 7_919)
-                order = np.random.default_rng([seed, r["shard"]]).permutation(len(which))
-                for lo in range(0, len(order), 100_000):
-                    o = order[lo : lo + 100_000]
+                drawn = draw_counts(r["counts"], [seed, r["part"]], SHARD_SLOTS)
+                start = np.array(r["base"], np.int64) + np.cumsum(drawn, axis=0) - drawn
+                for h, (many, first) in enumerate(zip(drawn, start)):
+                    which = np.repeat(np.arange(len(names)), many)
+                    draw = np.concatenate([np.arange(o, o + c) for o, c in zip(first, many)])
+                    epoch, index = draw // n_blocks[which], draw % n_blocks[which]
+                    block = permute(index, n_blocks[which], (np.int64(seed) << 40) + which * 1_000_003 + epoch * 7_919)
+                    shard = r["part"] * PART_SHARDS + h
+                    o = np.random.default_rng([seed, r["part"], h]).permutation(len(which))
                     yield pa.RecordBatch.from_pydict({
-                        "source": [names[i] for i in which[o]], "block": block[o], "shard": np.full(len(o), r["shard"], np.int32),
-                        "slot": np.arange(lo, lo + len(o), dtype=np.int32), "epoch": epoch[o].astype(np.int32),
+                        "source": [names[i] for i in which[o]], "block": block[o], "shard": np.full(len(o), shard, np.int32),
+                        "slot": np.arange(len(o), dtype=np.int32), "epoch": epoch[o].astype(np.int32),
                     })
 
-    shards = spark.createDataFrame(rows, "shard int, counts array<bigint>, base array<bigint>")
-    return shards.repartition(min(max(len(rows), 1), parallelism(spark))).mapInArrow(fill, "source string, block bigint, shard int, slot int, epoch int")
+    parts = spark.createDataFrame(rows, "part int, counts array<bigint>, base array<bigint>")
+    return parts.repartition(min(max(len(rows), 1), parallelism(spark))).mapInArrow(fill, "source string, block bigint, shard int, slot int, epoch int")
 
 
 @dataclass(frozen=True)

@@ -40,7 +40,7 @@ def test_normal_quantile(spark):
 
 def test_percentile_in_pieces_equals_whole(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    monkeypatch.setattr(fusion, "LARGE", 1_000)
+    monkeypatch.setattr(fusion, "LARGE", 100)
     rows = [(["hot", None, f"g{i % 7}"][i % 3], float(rng.integers(300))) for i in range(60_000)]
     df = spark.createDataFrame(rows, "g string, v double")
     got = fusion.average_percentile(df, ["g"], "v", "q").toPandas()
@@ -50,6 +50,12 @@ def test_percentile_in_pieces_equals_whole(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_percentile_of_one_hot_tie(spark):
+    df = spark.range(0, 50_000, 1, 8).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 > 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"), F.col("id").alias("x"))
+    got = fusion.average_percentile(df, ["g"], "v", "q").toPandas()
+    assert len(got) == 50_000 and np.allclose(got.q, (got.v.rank() - 0.5) / 50_000)
+
+
 def test_fused_ranking_missing_and_scale(spark):
     rows = [("g", "a", 9e9, 0.0, 1), ("g", "b", 1.0, 0.5, None), ("g", "c", float("nan"), None, None), ("g", "d", 0.0, 0.9, 3), (None, "a", 1.0, 0.1, 1)]
     df = spark.createDataFrame(rows, "g string, f string, x double, p double, t int").withColumn("combined", F.lit("clash")).withColumn("__v", F.lit(1))
