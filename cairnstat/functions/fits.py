@@ -221,17 +221,23 @@ def fit_trend_cv2(means, cv2, n_obs: int, min_mean: float = 0.1, nmads: float =
     return Trend("cv2", p, std_dev=sd)
 
 
+def poisson_means(low: float, high: float, points: int) -> np.ndarray:
+    """Means at which counts are simulated: ``points`` of them, evenly on the log scale."""
+    return np.exp(np.linspace(np.log(max(low, 1e-4)), np.log(max(high, 1e-3)), points))
+
+
+def log_counts(rng: np.random.Generator, mean: float, size_factors: np.ndarray, dispersion: float = 0.0, pseudo: float = 1.0) -> np.ndarray:
+    """log2(count / size factor + pseudo) of one simulated count per size factor."""
+    rate = mean * size_factors
+    counts = rng.poisson(rate) if dispersion <= 0 else rng.negative_binomial(1 / dispersion, 1 / (1 + dispersion * rate))
+    return np.log2(counts / size_factors + pseudo)
+
+
 def poisson_moments(low: float, high: float, size_factors: np.ndarray, points: int = 1000, dispersion: float = 0.0, pseudo: float = 1.0, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Means and variances of log2(count / size factor + pseudo) of simulated counts whose means span low..high on the log scale."""
+    """Means and variances of simulated log counts whose means span low..high."""
     rng = np.random.default_rng(seed)
-    mu = np.exp(np.linspace(np.log(max(low, 1e-4)), np.log(max(high, 1e-3)), points))
-    m, v = np.empty(points), np.empty(points)
-    for i, u in enumerate(mu):
-        rate = u * size_factors
-        counts = rng.poisson(rate) if dispersion <= 0 else rng.negative_binomial(1 / dispersion, 1 / (1 + dispersion * rate))
-        e = np.log2(counts / size_factors + pseudo)
-        m[i], v[i] = e.mean(), e.var(ddof=1)
-    return m, v
+    e = [log_counts(rng, u, size_factors, dispersion, pseudo) for u in poisson_means(low, high, points)]
+    return np.array([x.mean() for x in e]), np.array([x.var(ddof=1) for x in e])
 
 
 def fit_trend_poisson(means, size_factors, points: int = 1000, dispersion: float = 0.0, pseudo: float = 1.0, seed: int = 1) -> Trend:

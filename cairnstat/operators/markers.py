@@ -106,21 +106,27 @@ def overlaps(assay: Assay, lfc: float = 0.0) -> DataFrame:
         both = all_counts.select("feature", "block", "value", *[F.col(c).alias(f"{s}{c}") for s in "lr" for c in cs])
     below = Window.partitionBy("feature", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     x = both.select("feature", "block", *[f"l{c}" for c in cs], *[f"r{c}" for c in cs], *[F.coalesce(F.sum(f"r{c}").over(below), F.lit(0)).alias(f"b{c}") for c in cs])
+    if len(groups) < 2:
+        return x.select("feature", "block", *[F.lit(None).cast(t).alias(c) for c, t in (("first", "string"), ("second", "string"), ("n_1", "bigint"), ("n_2", "bigint"), ("u", "double"), ("ties", "double"))]).limit(0)
+    # one row per value and group that has it, with sums against every other group: their number grows with the groups, not with the pairs
+    last = len(groups)
+    each = x.select("feature", "block", *[f"{k}{c}" for k in "rb" for c in cs], F.posexplode(F.array(*[f"l{c}" for c in cs], F.lit(-1))).alias("i", "l")).filter("l <> 0")
+    cube = lambda t: t * t * t - t
     sums = []
-    for i in range(len(groups)):
-        for j in range(len(groups)):
-            if i != j:
-                t = (F.col(f"lc{i}") + F.col(f"rc{j}")).cast("double")
-                sums += [F.sum(F.col(f"lc{i}") * (F.col(f"bc{j}") + F.col(f"rc{j}") / 2.0)).alias(f"u{i}_{j}"), F.sum(t * t * t - t).alias(f"t{i}_{j}")]
-    wide = x.groupBy("feature", "block").agg(*sums)
-    n = lambda g: F.element_at(F.create_map(*[F.lit(v) for b in blocks for v in (b, size.get((b, g), 0))]), F.col("block"))
-    each = [
-        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), n(a).cast("bigint").alias("n_1"), n(b).cast("bigint").alias("n_2"), F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties"))
-        for i, a in enumerate(groups) for j, b in enumerate(groups) if i != j
-    ]
-    if not each:
-        return wide.select("feature", "block", *[F.lit(None).cast(t).alias(c) for c, t in (("first", "string"), ("second", "string"), ("n_1", "bigint"), ("n_2", "bigint"), ("u", "double"), ("ties", "double"))]).limit(0)
-    return wide.select("feature", "block", F.explode(F.array(*each)).alias("__p")).select("feature", "block", "__p.*").filter("n_1 > 0 and n_2 > 0")
+    for c in cs:
+        r, tied = F.col(f"r{c}").cast("double"), (F.col("l") + F.col(f"r{c}")).cast("double")
+        # the last row of each value (l = -1) gives the ties of the second group by itself
+        sums += [F.sum(F.col("l") * (F.col(f"b{c}") + r / 2.0)).alias(f"u{c}"), F.sum(F.when(F.col("i") == last, cube(r)).otherwise(cube(tied) - cube(r))).alias(f"t{c}")]
+    per = each.groupBy("feature", "block", "i").agg(*sums).select("feature", "block", F.struct("i", F.array(*[f"u{c}" for c in cs]).alias("u"), F.array(*[f"t{c}" for c in cs]).alias("t")).alias("e"))
+    rows = per.groupBy("feature", "block").agg(F.collect_list("e").alias("__g"))
+    own = F.filter("__g", lambda e: e["i"] == last)[0]["t"]
+    flat = rows.select("feature", "block", own.alias("own"), F.explode(F.filter("__g", lambda e: e["i"] < last)).alias("e"))
+    flat = flat.select("feature", "block", F.col("e.i").alias("i"), F.posexplode(F.arrays_zip(F.col("e.u").alias("u"), F.col("e.t").alias("t"), F.col("own").alias("own"))).alias("j", "z")).filter("i <> j")
+    names = F.array(*[F.lit(g) for g in groups])
+    n = F.element_at(F.create_map(*[v for b in blocks for v in (F.lit(b), F.array(*[F.lit(size.get((b, g), 0)).cast("bigint") for g in groups]))]), F.col("block"))
+    at = lambda a, k: F.element_at(a, F.col(k) + 1)
+    out = flat.select("feature", "block", at(names, "i").alias("first"), at(names, "j").alias("second"), at(n, "i").alias("n_1"), at(n, "j").alias("n_2"), F.col("z.u").alias("u"), (F.col("z.t") + F.col("z.own")).alias("ties"))
+    return out.filter("n_1 > 0 and n_2 > 0")
 
 
 def auc() -> Column:
@@ -162,7 +168,12 @@ def min_rank(effects: DataFrame, effect: str, out: str) -> DataFrame:
 
 
 def score_markers(assay: Assay, lfc: float = 0.0, pairs: list[tuple[str, str]] | None = None, row_data: DataFrame | None = None) -> DataFrame:
-    """Per (grp, feature): averages in and outside the group, and mean, median, min, max and rank of each effect over its comparisons."""
+    """Per (grp, feature): averages in and outside the group, and mean, median, min, max and rank of each effect over its comparisons.
+
+    With several blocks the averages are freed of block effects
+    (`corrected_summaries`). Those outside a group are over the groups it is
+    compared with.
+    """
     effects = effect_sizes(assay, lfc, pairs)
     ranked = effects
     for e in EFFECTS:
@@ -172,7 +183,7 @@ def score_markers(assay: Assay, lfc: float = 0.0, pairs: list[tuple[str, str]] |
     for e in EFFECTS:
         aggs += [F.avg(e).alias(f"mean_{e}"), F.median(e).alias(f"median_{e}"), F.min(e).alias(f"min_{e}"), F.max(e).alias(f"max_{e}"), F.min(f"__r_{e}").alias(f"rank_{e}")]
     summary = ranked.groupBy(F.col("first").alias("grp"), "feature").agg(*aggs)
-    out = summary_stats(assay).join(summary, ["grp", "feature"])
+    out = others_of(corrected_summaries(assay), pairs).join(summary, ["grp", "feature"])
     return out.join(row_data, "feature", "left") if row_data is not None else out
 
 
@@ -191,23 +202,40 @@ def summary_stats(assay: Assay) -> DataFrame:
     g = marker_moments(assay).groupBy("feature", "grp").agg(
         (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("a"), (F.sum("detected") / F.sum("n")).alias("d")
     )
-    w = Window.partitionBy("feature")
-    others = F.count("*").over(w) - 1
-    return g.select(
-        "grp", "feature", F.col("a").alias("self_average"), F.when(others > 0, (F.sum("a").over(w) - F.col("a")) / others).alias("other_average"),
-        F.col("d").alias("self_detected"), F.when(others > 0, (F.sum("d").over(w) - F.col("d")) / others).alias("other_detected"),
+    return others_of(g.select("grp", "feature", F.col("a").alias("average"), F.col("d").alias("detected_share")))
+
+
+def others_of(g: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(grp, feature, self_average, other_average, self_detected, other_detected): each group's summaries, and their mean over the groups it is paired with, all others without ``pairs``."""
+    if pairs is None:
+        w = Window.partitionBy("feature")
+        others = F.count("*").over(w) - 1
+        other = {c: F.when(others > 0, (F.sum(c).over(w) - F.col(c)) / others) for c in ("average", "detected_share")}
+        x = g
+    else:
+        wanted = g.sparkSession.createDataFrame(sorted({(a, b) for a, b in pairs if a != b}), "grp string, second string")
+        seconds = F.broadcast(wanted).join(g.withColumnRenamed("grp", "second"), "second").groupBy("grp", "feature").agg(F.avg("average").alias("__a"), F.avg("detected_share").alias("__d"))
+        x = g.join(seconds, ["grp", "feature"], "left")
+        other = {"average": F.col("__a"), "detected_share": F.col("__d")}
+    return x.select(
+        "grp", "feature", F.col("average").alias("self_average"), other["average"].alias("other_average"),
+        F.col("detected_share").alias("self_detected"), other["detected_share"].alias("other_detected"),
     )
 
 
+#: Added to detected shares, and taken off again, so that shares of 0 and 1 have a logit.
+LOGIT_OFFSET = 0.01
+
+
 def corrected_summaries(assay: Assay, detection: float = 0.0) -> DataFrame:
     """(grp, feature, average, detected_share): group effects freed of block effects.
 
     Means of (group, block), weighted by their observations, are modelled as
-    group + block; a group's value is its effect in the average block.
-    Detected shares are modelled on the logit scale, shrunk by half an
-    observation. The model is the same for all features, so each result is a
+    group + block; a group's value is its effect in the average block, all
+    blocks counting alike. Detected shares are modelled on the logit scale,
+    shrunk towards a half by LOGIT_OFFSET. The model is the same for all features, so each result is a
     fixed combination of that feature's means, found once on the driver. With
-    one block the averages are the plain ones.
+    one block both are the plain ones.
     """
     rows = levels(assay.observations, ["grp", "block"])
     groups, blocks = sorted({r.grp for r in rows}), sorted({r.block for r in rows})
@@ -218,15 +246,16 @@ def corrected_summaries(assay: Assay, detection: float = 0.0) -> DataFrame:
             x[k, len(groups) + blocks.index(r.block) - 1] = 1.0
     w = np.array([float(r.n) for r in rows])
     beta = np.linalg.pinv(x * np.sqrt(w)[:, None]) * np.sqrt(w)[None]
-    share = np.array([sum(r.n for r in rows if r.block == b) for b in blocks[1:]], float) / w.sum()
+    share = np.full(len(blocks) - 1, 1.0 / len(blocks))
     take = beta[: len(groups)] + share @ beta[len(groups) :]
     spark = assay.values.sparkSession
     factors = [(g, r.grp, r.block, float(take[i, k])) for i, g in enumerate(groups) for k, r in enumerate(rows) if abs(take[i, k]) > 1e-12]
     f = spark.createDataFrame(factors, "to string, grp string, block string, w double")
-    p = (F.col("detected") + 0.5) / (F.col("n") + 1.0)
+    p = (F.col("detected") / F.col("n") + LOGIT_OFFSET) / (1 + 2 * LOGIT_OFFSET)
     m = marker_moments(assay, detection).withColumn("__logit", F.log(p / (1 - p)))
     s = m.join(f, ["grp", "block"]).groupBy(F.col("to").alias("grp"), "feature").agg(F.sum(F.col("w") * F.col("mean")).alias("average"), F.sum(F.col("w") * F.col("__logit")).alias("__l"))
-    return s.select("grp", "feature", "average", (1 / (1 + F.exp(-F.col("__l")))).alias("detected_share"))
+    back = (1 + 2 * LOGIT_OFFSET) / (1 + F.exp(-F.col("__l"))) - LOGIT_OFFSET
+    return s.select("grp", "feature", "average", F.greatest(F.lit(0.0), F.least(F.lit(1.0), back)).alias("detected_share"))
 
 
 # pairwise tests
@@ -401,10 +430,20 @@ def top_markers(pairs: DataFrame, features: DataFrame, n: int = 10, pairwise: bo
 def multi_markers(tables: dict[str, DataFrame], repeated: Sequence[str] = ()) -> DataFrame:
     """Join marker tables of several methods: top and p_value are the worst of each, FDR anew; other columns come as method_column.
 
-    Columns in ``repeated`` are alike in all tables and come once. A column
-    must be in every table or in none of the others' names matter.
+    Columns in ``repeated`` are alike in all tables and come once. Tables
+    whose (grp, feature) rows differ are refused, as is a repeated column, or
+    top or p_value, that only some of them have.
     """
     out, names = None, list(tables)
+    for c in {*repeated, "top", "p_value"}:
+        if len({c in t.columns for t in tables.values()}) > 1:
+            raise ValueError(f"column {c} is in some of the tables only")
+    keys = None
+    for name, t in tables.items():
+        own = t.select("grp", "feature").distinct().withColumn("__i", F.lit(1))
+        keys = own if keys is None else keys.unionByName(own)
+    if not keys.groupBy("grp", "feature").agg(F.count("*").alias("n")).filter(F.col("n") != len(names)).isEmpty():
+        raise ValueError("the tables do not hold the same features of the same groups")
     for name, t in tables.items():
         own = [c for c in t.columns if c not in ("grp", "feature") and (c not in repeated or name == names[0])]
         t = t.select("grp", "feature", *[F.col(c).alias(c if c in repeated else f"{name}_{c}") for c in own])

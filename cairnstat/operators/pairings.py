@@ -10,15 +10,15 @@ def pairings(features: DataFrame, pairs=None, ordered: bool = False) -> DataFram
 
     ``pairs`` None pairs all features; a list of names is a pool; a tuple of
     two lists pairs the first set with the second; a DataFrame (gene1, gene2)
-    is taken as it is. Unknown names are dropped and no feature is paired with
-    itself. A pool gives each pair once, by feature_idx, or in both orders if
+    is taken as it is, with pairs of a feature and itself. Unknown names are
+    dropped. A pool or a product pairs no feature with itself. A pool gives each pair once, by feature_idx, or in both orders if
     ``ordered``. The output is what was asked for, so its size is quadratic in
     the pool: restrict the features first.
     """
     names = features.select("feature", "feature_idx")
     if isinstance(pairs, DataFrame):
         known = names.select("feature")
-        return pairs.select("gene1", "gene2").filter("gene1 <> gene2").join(known.withColumnRenamed("feature", "gene1"), "gene1", "left_semi").join(known.withColumnRenamed("feature", "gene2"), "gene2", "left_semi")
+        return pairs.select("gene1", "gene2").join(known.withColumnRenamed("feature", "gene1"), "gene1", "left_semi").join(known.withColumnRenamed("feature", "gene2"), "gene2", "left_semi")
     if isinstance(pairs, tuple):
         left, right = (names.filter(F.col("feature").isin(list(p))) for p in pairs)
         on = F.col("l.feature") != F.col("r.feature")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cairnstat.functions import special
-from cairnstat.functions.fits import Trend, fit_trend_cv2, fit_trend_poisson, fit_trend_var
+from cairnstat.functions.fits import Trend, fit_trend_cv2, fit_trend_var, log_counts, poisson_means
 from cairnstat.functions.testing import METHODS, benjamini_hochberg, stouffer
 from cairnstat.operators.moments import moments, shifted_lognorm_moments
 from cairnstat.session import materialize
@@ -115,19 +115,50 @@ def model_var_spikes(assay: Assay, spikes: Assay, equal_weight: bool = True, met
     return combine_blocks(per, VAR_FIELDS, weight=None if equal_weight else "n", method=method)
 
 
-#: Size factors a simulation of technical noise uses: quantiles of all of them.
-SIMULATED_OBSERVATIONS = 1_000
+#: Observations whose counts one task simulates at a time.
+SIMULATED_ROWS = 5_000
+
+
+def simulated_moments(observations: DataFrame, spans: dict[str, tuple[float, float]], points: int, dispersion: float, pseudo: float, seed: int) -> DataFrame:
+    """(block, point, m, v): moments of simulated log counts over all observations of a block.
+
+    Every size factor takes part: observations are simulated bucket by bucket
+    (of a hash of obs, SIMULATED_ROWS on average) and the buckets' sums
+    added up. The outcome depends on the observations and the seed only.
+    """
+    known = observations.filter("size_factor > 0 and block is not null").select("obs", "block", F.col("size_factor").cast("double").alias("size_factor"))
+    buckets = max(1, -(-known.count() // SIMULATED_ROWS))
+    placed = known.withColumn("__b", F.pmod(F.xxhash64("obs"), F.lit(buckets)).cast("int"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block, bucket = key
+        if block not in spans:
+            return pd.DataFrame({"block": [], "point": [], "n": [], "s": [], "q": []})
+        sf = pdf.sort_values("obs").size_factor.to_numpy()
+        mu = poisson_means(*spans[block], points)
+        rng = np.random.default_rng([seed, int(bucket)])
+        e = np.array([log_counts(rng, u, sf, dispersion, pseudo) for u in mu]) - np.log2(mu + pseudo)[:, None]
+        return pd.DataFrame({"block": block, "point": np.arange(points), "n": len(sf), "s": e.sum(axis=1), "q": (e * e).sum(axis=1)})
+
+    sums = placed.groupBy("block", "__b").applyInPandas(run, "block string, point int, n bigint, s double, q double")
+    total = sums.groupBy("block", "point").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    return total.select("block", "point", (F.col("s") / F.col("n")).alias("m"), F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("v"))
 
 
 def model_var_poisson(assay: Assay, points: int = 1000, dispersion: float = 0.0, pseudo: float = 1.0, seed: int = 1, equal_weight: bool = True, method: str = "fisher") -> DataFrame:
-    """As `model_var`, with a trend from simulated Poisson (or negative binomial) counts. Size factors are used as given."""
+    """As `model_var`, with a trend from simulated Poisson (or negative binomial) counts of all observations. Size factors are used as given."""
     stats = materialize(shifted_lognorm_moments(assay, ["block"], pseudo).select("feature", "block", "n", "mean", "variance"))
+    good = _blocks(stats)
+    ends = stats.filter("mean > 0").groupBy("block").agg(F.min("mean").alias("low"), F.max("mean").alias("high")).collect()
+    spans = {r.block: (2**r.low - pseudo, 2**r.high - pseudo) for r in ends if r.block in good}
+    made = simulated_moments(assay.observations, spans, points, dispersion, pseudo, seed).toPandas()
     out = None
-    for b in _blocks(stats):
-        o = assay.observations.filter(F.col("block") == b)
-        sf = np.array(o.approxQuantile("size_factor", [(i + 0.5) / SIMULATED_OBSERVATIONS for i in range(SIMULATED_OBSERVATIONS)], 0.0005))
-        pts = _fit_points(stats.filter(F.col("block") == b), "variance")
-        part = decompose(stats.filter(F.col("block") == b), fit_trend_poisson(pts["mean"], sf[sf > 0], points, dispersion, pseudo, seed))
+    for b in good:
+        if b not in spans:
+            continue
+        own = made[made.block == b].sort_values("point")
+        mu = np.log2(poisson_means(*spans[b], points) + pseudo)
+        part = decompose(stats.filter(F.col("block") == b), fit_trend_var(own.m.to_numpy() + mu, own.v.to_numpy(), min_mean=0.0))
         out = part if out is None else out.unionByName(part)
     return combine_blocks(out, VAR_FIELDS, weight=None if equal_weight else "n", method=method)
 
@@ -147,7 +178,7 @@ def model_cv2(assay: Assay, spikes: Assay | None = None, equal_weight: bool = Tr
         pts = _fit_points(fitted.filter(F.col("block") == b), "cv2")
         part = decompose_cv2(stats.filter(F.col("block") == b), fit_trend_cv2(pts["mean"], pts.cv2, sizes[b], **trend))
         out = part if out is None else out.unionByName(part)
-    return combine_blocks(out.filter("total > 0"), CV2_FIELDS, geometric=True, weight=None if equal_weight else "n", method=method)
+    return combine_blocks(out, CV2_FIELDS, geometric=True, weight=None if equal_weight else "n", method=method)
 
 
 def combine_tables(tables: Sequence[DataFrame], geometric: bool = False, weights: Sequence[float] | None = None, method: str = "fisher") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnstat.functions import testing
@@ -23,9 +21,9 @@ def _r(name: str, digits: int = 6):
     return F.round(F.col(name) + NUDGE if digits == 6 else F.col(name), digits).alias(name)
 
 
-def _p9(name: str, whole: bool):
-    """p-values to 9 decimals; over the whole table exact halves occur there too."""
-    return F.round(F.col(name) + (1e-13 if whole else 0.0), 9).alias(name)
+def _p9(name: str):
+    """p-values to 9 decimals; exact halves occur there too."""
+    return F.round(F.col(name) + 1e-13, 9).alias(name)
 
 
 def moments_blocked(spark: SparkSession, d: str) -> DataFrame:
@@ -112,13 +110,21 @@ def auc_pairs_lfc(spark: SparkSession, d: str) -> DataFrame:
 _COLUMNS = [f"{s}_{e}" for e in mk.EFFECTS for s in ("mean", "median", "min", "max")]
 
 
+_AVERAGES = ("self_average", "other_average", "self_detected", "other_detected")
+
+
 def _scores(df: DataFrame, digits: int) -> DataFrame:
-    return df.select("grp", "feature", *[_r(c, digits) for c in ("self_average", "other_average", "self_detected", "other_detected", *_COLUMNS)], *[f"rank_{e}" for e in mk.EFFECTS])
+    return df.select("grp", "feature", *[_r(c, digits) for c in (*_AVERAGES, *_COLUMNS)], *[f"rank_{e}" for e in mk.EFFECTS])
 
 
 def score_markers(spark: SparkSession, d: str) -> DataFrame:
     """All effects summarised per group and brand, averaged over regions. Counts, so that ties are exact."""
-    return _scores(mk.score_markers(_brand(spark, d)), 8)
+    return _scores(mk.score_markers(_brand(spark, d)), 8).drop(*_AVERAGES)
+
+
+def score_markers_averages(spark: SparkSession, d: str) -> DataFrame:
+    """The averages of score_markers, freed of the regions' effects."""
+    return mk.others_of(mk.corrected_summaries(_brand(spark, d))).select("grp", "feature", *[_r(c) for c in _AVERAGES])
 
 
 def score_markers_stored(spark: SparkSession, d: str) -> DataFrame:
@@ -158,41 +164,35 @@ def binom_effect(spark: SparkSession, d: str) -> DataFrame:
     return b.select("feature", "block", "first", "second", "detected_1", "detected_2", _r("logfc"))
 
 
-def _pvalues(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Stored pairwise p-values of the large groups against each other, or with ``whole`` of all groups; current rows."""
-    p = table(spark, d, "pair_stats")
-    p = p.filter("first <> '' and second <> ''") if whole else p.filter(F.col("first").isin(GROUPS) & F.col("second").isin(GROUPS))
+def _pvalues(spark: SparkSession, d: str) -> DataFrame:
+    """Stored pairwise p-values of all groups; current rows."""
+    p = table(spark, d, "pair_stats").filter("first <> '' and second <> ''")
     p = p.join(table(spark, d, "features").select("feature"), "feature")
     now = current_rows(p, ["first", "second", "feature"], "loaded_at", ["effect", "p_value"])
     return now.select("first", "second", "feature", F.when(~F.isnan("effect"), F.col("effect")).alias("effect"), "p_value")
 
 
-def _combine(kind: str, whole: bool = False):
+def _combine(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        c = mk.combine_markers(_pvalues(spark, d, whole), table(spark, d, "features"), effect="effect", pval_type=kind)
+        c = mk.combine_markers(_pvalues(spark, d), table(spark, d, "features"), effect="effect", pval_type=kind)
         top = ["top"] if kind == "any" else []
-        return c.select("grp", "feature", *top, _p9("p_value", whole), _p9("fdr", whole), _r("summary"), F.size("effects").alias("n_effects"))
+        return c.select("grp", "feature", *top, _p9("p_value"), _p9("fdr"), _r("summary"), F.size("effects").alias("n_effects"))
 
     query.__doc__ = f"Stored pairwise p-values combined per group, type {kind}."
     return query
 
 
-def _pair_bh(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return testing.benjamini_hochberg(_pvalues(spark, d, whole), "p_value", ["first", "second"], "fdr")
+def _pair_bh(spark: SparkSession, d: str) -> DataFrame:
+    return testing.benjamini_hochberg(_pvalues(spark, d), "p_value", ["first", "second"], "fdr")
 
 
-def bh_adjust(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _pair_bh(spark, d, whole).select("first", "second", "feature", _p9("fdr", whole))
+def bh_adjust(spark: SparkSession, d: str) -> DataFrame:
+    return _pair_bh(spark, d).select("first", "second", "feature", _p9("fdr"))
 
 
 def log_bh(spark: SparkSession, d: str) -> DataFrame:
-    x = _pvalues(spark, d).filter("p_value > 0").withColumn("lp", F.log("p_value"))
-    return testing.benjamini_hochberg(x, "lp", ["first", "second"], "log_fdr", log=True).select("first", "second", "feature", _r("log_fdr"))
-
-
-def log_bh_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As `log_bh` over all groups; a p-value of 0 counts, with ln 0 as -infinity."""
-    x = _pvalues(spark, d, True).filter("p_value is not null").withColumn("lp", F.when(F.col("p_value") > 0, F.log("p_value")).otherwise(float("-inf")))
+    """Corrected p-values on the ln scale; a p-value of 0 counts, with ln 0 as -infinity."""
+    x = _pvalues(spark, d).filter("p_value is not null").withColumn("lp", F.when(F.col("p_value") > 0, F.log("p_value")).otherwise(float("-inf")))
     return testing.benjamini_hochberg(x, "lp", ["first", "second"], "log_fdr", log=True).select("first", "second", "feature", _r("log_fdr"))
 
 
@@ -200,48 +200,44 @@ def bh_whole_table(spark: SparkSession, d: str) -> DataFrame:
     """One family over all current rows of pair_stats, without a window over all of them."""
     p = table(spark, d, "pair_stats").filter("first <> ''")
     now = current_rows(p, ["first", "second", "feature"], "loaded_at", ["p_value"])
-    return testing.bh_large(now, "p_value", "fdr").select("first", "second", "feature", _r("fdr", 9))
+    return testing.bh_large(now, "p_value", "fdr").select("first", "second", "feature", _p9("fdr"))
 
 
 def fisher_combine(spark: SparkSession, d: str) -> DataFrame:
-    return testing.fisher(_pvalues(spark, d).filter("p_value > 0"), "p_value", ["first", "feature"], "p").select("first", "feature", _r("p", 9))
-
-
-def fisher_combine_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As `fisher_combine` over all groups; a p-value of 0 makes the combined one 0."""
-    return testing.fisher(_pvalues(spark, d, True), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", True))
+    """p-values of a feature's comparisons combined; a p-value of 0 makes the combined one 0."""
+    return testing.fisher(_pvalues(spark, d), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p"))
 
 
-def simes_combine(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return testing.simes(_pvalues(spark, d, whole), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", whole))
+def simes_combine(spark: SparkSession, d: str) -> DataFrame:
+    return testing.simes(_pvalues(spark, d), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p"))
 
 
-def berger_combine(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return testing.berger(_pvalues(spark, d, whole), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", whole))
+def berger_combine(spark: SparkSession, d: str) -> DataFrame:
+    return testing.berger(_pvalues(spark, d), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p"))
 
 
-def holm_combine(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return testing.holm_middle(_pvalues(spark, d, whole), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p", whole))
+def holm_combine(spark: SparkSession, d: str) -> DataFrame:
+    return testing.holm_middle(_pvalues(spark, d), "p_value", ["first", "feature"], "p").select("first", "feature", _p9("p"))
 
 
-def top_markers(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return mk.top_markers(_pair_bh(spark, d, whole), table(spark, d, "features"), 10, effect="effect")
+def top_markers(spark: SparkSession, d: str) -> DataFrame:
+    return mk.top_markers(_pair_bh(spark, d), table(spark, d, "features"), 10, effect="effect")
 
 
-def top_markers_combined(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return mk.top_markers(_pair_bh(spark, d, whole), table(spark, d, "features"), 3, False, "any", effect="effect")
+def top_markers_combined(spark: SparkSession, d: str) -> DataFrame:
+    return mk.top_markers(_pair_bh(spark, d), table(spark, d, "features"), 3, False, "any", effect="effect")
 
 
-def multi_marker_max(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def multi_marker_max(spark: SparkSession, d: str) -> DataFrame:
     """The any and all combinations of the same pairs joined: worst p of both."""
     f = table(spark, d, "features")
-    one, two = (mk.combine_markers(_pvalues(spark, d, whole), f, effect="effect", pval_type=k).select("grp", "feature", "p_value", "summary") for k in ("any", "all"))
+    one, two = (mk.combine_markers(_pvalues(spark, d), f, effect="effect", pval_type=k).select("grp", "feature", "p_value", "summary") for k in ("any", "all"))
     m = mk.multi_markers({"any": one, "all": two})
-    return m.select("grp", "feature", _p9("p_value", whole), _p9("any_p_value", whole), _p9("all_p_value", whole), _p9("fdr", whole))
+    return m.select("grp", "feature", _p9("p_value"), _p9("any_p_value"), _p9("all_p_value"), _p9("fdr"))
 
 
-def marker_effects(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = mk.combine_markers(_pvalues(spark, d, whole), table(spark, d, "features"), effect="effect")
+def marker_effects(spark: SparkSession, d: str) -> DataFrame:
+    c = mk.combine_markers(_pvalues(spark, d), table(spark, d, "features"), effect="effect")
     return mk.marker_effects(c).select("grp", "feature", "other", "effect")
 
 
@@ -259,14 +255,11 @@ QUERIES = {
     "moments_blocked": moments_blocked, "moments_stored": moments_stored, "lognorm_moments": lognorm_moments, "lognorm_moments_pseudo": lognorm_moments_pseudo,
     "cv2_blocked": cv2_blocked, "size_factors": size_factors, "spike_size_factors": spike_size_factors, "average_counts": average_counts, "group_summary": group_summary, "pseudobulk_sum": pseudobulk_sum,
     "cohen_d": cohen_d, "cohen_d_lfc": cohen_d_lfc, "detection_lfc": detection_lfc, "auc_pairs": auc_pairs, "auc_pairs_lfc": auc_pairs_lfc,
-    "score_markers": score_markers, "score_markers_stored": score_markers_stored, "full_scores": full_scores, "min_rank": min_rank, "summary_marker_stats": summary_marker_stats,
+    "score_markers": score_markers, "score_markers_averages": score_markers_averages, "score_markers_stored": score_markers_stored, "full_scores": full_scores, "min_rank": min_rank, "summary_marker_stats": summary_marker_stats,
     "welch_stats": welch_stats, "wilcox_stats": wilcox_stats, "binom_effect": binom_effect,
     "combine_any": _combine("any"), "combine_some": _combine("some"), "combine_all": _combine("all"),
     "bh_adjust": bh_adjust, "log_bh": log_bh, "bh_whole_table": bh_whole_table, "fisher_combine": fisher_combine, "simes_combine": simes_combine, "berger_combine": berger_combine, "holm_combine": holm_combine,
     "top_markers": top_markers, "top_markers_combined": top_markers_combined, "multi_marker_max": multi_marker_max, "marker_effects": marker_effects,
-    "combine_any_whole": _combine("any", True), "combine_some_whole": _combine("some", True), "combine_all_whole": _combine("all", True),
-    **{f"{q.__name__}_whole": partial(q, whole=True) for q in (bh_adjust, simes_combine, berger_combine, holm_combine, top_markers, top_markers_combined, multi_marker_max, marker_effects)},
-    "log_bh_whole": log_bh_whole, "fisher_combine_whole": fisher_combine_whole,
     "find_markers_t": _find("t", "any"), "find_markers_wilcox": _find("wilcox", "some"), "find_markers_binom": _find("binom", "all"),
 }
 
@@ -318,7 +311,7 @@ SELECT * FROM sm JOIN k USING (grp, feature)"""
 
 _G = ", ".join(f"'{g}'" for g in GROUPS)
 _P = f"""pv AS (SELECT first, second, feature, feature_idx, CASE WHEN NOT isnan(m.e) THEN m.e END AS effect, m.p AS p_value FROM (
-  SELECT first, second, feature, arg_max({{'e': effect, 'p': p_value}}, loaded_at) AS m FROM pair_stats WHERE first IN ({_G}) AND second IN ({_G}) GROUP BY 1, 2, 3)
+  SELECT first, second, feature, arg_max({{'e': effect, 'p': p_value}}, loaded_at) AS m FROM pair_stats WHERE first <> '' AND second <> '' GROUP BY 1, 2, 3)
   JOIN features USING (feature))"""
 _PBH = f"""{_P}, pr AS (SELECT *, p_value AS p, row_number() OVER (PARTITION BY first, second ORDER BY p_value) AS r, count(*) OVER (PARTITION BY first, second) AS m FROM pv WHERE p_value IS NOT NULL),
 pb AS (SELECT first, second, feature, feature_idx, effect, p_value, {S.BH.format(by="first, second")} AS fdr FROM pr)"""
@@ -360,7 +353,7 @@ SELECT obs, round(size_factor / avg(size_factor) OVER (), 5) AS size_factor,
     "detection_lfc": f"WITH {S.BRAND}, {_M} SELECT {_KEYS}, round({_DET}, 6) AS logfc_detected {_PAIRS}",
     "auc_pairs": f"WITH {S.BRAND}, {_u()} SELECT feature, block, first, second, round(auc, 6) AS auc FROM auc",
     "auc_pairs_lfc": f"WITH {S.BRAND}, {_u(5)} SELECT feature, block, first, second, round(auc, 6) AS auc FROM auc",
-    "score_markers": _score(S.BRAND, 8),
+    "score_markers": _score(S.BRAND, 8).replace("SELECT * FROM sm JOIN k USING (grp, feature)", "SELECT * FROM k"),
     "score_markers_stored": _score(S.STORED.replace("o AS (", "o AS (SELECT obs, grp, 'all' AS block FROM (").replace("GROUP BY obs)),", f"GROUP BY obs)) WHERE grp IN ({_G})),"), 8),
     "full_scores": f"WITH {S.BRAND}, {_u()} SELECT first AS grp, feature, second AS other, round(sum(auc * n1 * n2) / sum(n1 * n2), 6) AS auc FROM auc GROUP BY 1, 2, 3",
     "min_rank": """WITH now AS (SELECT first, second, feature, m.e AS effect FROM (
@@ -385,14 +378,15 @@ SELECT feature, block, first, second, u, round(s, 6) AS sigma, round((u - n1 * n
     "combine_some": f"WITH {_P}, {_comb('some')} SELECT grp, feature, round(p_value, 9) AS p_value, round(fdr, 9) AS fdr, round(summary, 6) AS summary, n_effects FROM csome",
     "combine_all": f"WITH {_P}, {_comb('all')} SELECT grp, feature, round(p_value, 9) AS p_value, round(fdr, 9) AS fdr, round(summary, 6) AS summary, n_effects FROM call",
     "bh_adjust": f"WITH {_PBH} SELECT first, second, feature, round(fdr, 9) AS fdr FROM pb UNION ALL SELECT first, second, feature, NULL FROM pv WHERE p_value IS NULL",
-    "log_bh": f"""WITH {_P}, l AS (SELECT *, ln(p_value) AS p, row_number() OVER (PARTITION BY first, second ORDER BY p_value) AS r, count(*) OVER (PARTITION BY first, second) AS m FROM pv WHERE p_value > 0)
+    "log_bh": f"""WITH {_P}, l AS (SELECT *, CASE WHEN p_value > 0 THEN ln(p_value) ELSE CAST('-infinity' AS DOUBLE) END AS p,
+  row_number() OVER (PARTITION BY first, second ORDER BY p_value) AS r, count(*) OVER (PARTITION BY first, second) AS m FROM pv WHERE p_value IS NOT NULL)
 SELECT first, second, feature, round(least(0, min(p + ln(m / r)) OVER (PARTITION BY first, second ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS log_fdr FROM l""",
     "bh_whole_table": """WITH now AS (SELECT first, second, feature, m.p AS p FROM (SELECT first, second, feature, arg_max({'p': p_value}, loaded_at) AS m FROM pair_stats WHERE first <> '' GROUP BY ALL)),
 r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM now WHERE p IS NOT NULL)
 SELECT first, second, feature, round(least(1, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS fdr FROM r
 UNION ALL SELECT first, second, feature, NULL FROM now WHERE p IS NULL""",
-    "fisher_combine": f"""WITH {_P}, s AS (SELECT first, feature, -sum(ln(p_value)) AS y, count(*) AS k FROM pv WHERE p_value > 0 GROUP BY 1, 2)
-SELECT first, feature, round(least(1, exp(-y) * (SELECT sum(pow(y, j) / factorial(CAST(j AS INT))) FROM range(0, 12) t(j) WHERE j < k)), 9) AS p FROM s""",
+    "fisher_combine": f"""WITH {_P}, s AS (SELECT first, feature, -sum(CASE WHEN p_value > 0 THEN ln(p_value) END) AS y, count(*) AS k, min(p_value) AS low FROM pv WHERE p_value IS NOT NULL GROUP BY 1, 2)
+SELECT first, feature, round(CASE WHEN low = 0 THEN 0 WHEN y <= 0 THEN 1 ELSE least(1, (SELECT sum(exp(j * ln(y) - lgamma(j + 1) - y)) FROM range(0, 1000) t(j) WHERE j < k)) END, 9) AS p FROM s""",
     "simes_combine": f"WITH {_P}, k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY first, feature) AS m FROM pv WHERE p_value IS NOT NULL WINDOW w AS (PARTITION BY first, feature ORDER BY p_value)) SELECT first, feature, round(least(1, min(p_value * m / k)), 9) AS p FROM k GROUP BY 1, 2",
     "berger_combine": f"WITH {_P} SELECT first, feature, round(max(p_value), 9) AS p FROM pv WHERE p_value IS NOT NULL GROUP BY 1, 2",
     "holm_combine": f"""WITH {_P}, k AS (SELECT *, row_number() OVER (PARTITION BY first, feature ORDER BY p_value) AS k, count(*) OVER (PARTITION BY first, feature) AS m FROM pv WHERE p_value IS NOT NULL),
@@ -407,14 +401,4 @@ SELECT grp, feature, round(p, 9) AS p_value, round(a, 9) AS any_p_value, round(b
   CASE WHEN p IS NOT NULL THEN round(least(1, min(p * m / r) OVER (PARTITION BY grp, p IS NULL ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) END AS fdr FROM k""",
     "marker_effects": f"WITH {_P} SELECT first AS grp, feature, second AS other, effect FROM pv",
 }
-SQL = {name: text.replace(", 6) AS ", " + 1e-9, 6) AS ") for name, text in SQL.items()}
-
-_ALL = ("first <> '' AND second <> ''", f"first IN ({_G}) AND second IN ({_G})")
-#: The same over all groups of pair_stats.
-SQL |= {name: SQL[old].replace(_ALL[1], _ALL[0]).replace(", 9) AS ", " + 1e-13, 9) AS ") for name in QUERIES if name.endswith("_whole") and (old := name.removesuffix("_whole")) not in ("log_bh", "fisher_combine")}
-#: Those that also count p-values of 0.
-SQL["log_bh_whole"] = f"""WITH {_P.replace(_ALL[1], _ALL[0])}, l AS (SELECT *, CASE WHEN p_value > 0 THEN ln(p_value) ELSE CAST('-infinity' AS DOUBLE) END AS p,
-  row_number() OVER (PARTITION BY first, second ORDER BY p_value) AS r, count(*) OVER (PARTITION BY first, second) AS m FROM pv WHERE p_value IS NOT NULL)
-SELECT first, second, feature, round(least(0, min(p + ln(m / r)) OVER (PARTITION BY first, second ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) + 1e-9, 6) AS log_fdr FROM l"""
-SQL["fisher_combine_whole"] = f"""WITH {_P.replace(_ALL[1], _ALL[0])}, s AS (SELECT first, feature, -sum(CASE WHEN p_value > 0 THEN ln(p_value) END) AS y, count(*) AS k, min(p_value) AS low FROM pv WHERE p_value IS NOT NULL GROUP BY 1, 2)
-SELECT first, feature, round(CASE WHEN low = 0 THEN 0 WHEN y <= 0 THEN 1 ELSE least(1, (SELECT sum(exp(j * ln(y) - lgamma(j + 1) - y)) FROM range(0, 1000) t(j) WHERE j < k)) END + 1e-13, 9) AS p FROM s"""
+SQL = {name: text.replace(", 6) AS ", " + 1e-9, 6) AS ").replace(", 9) AS ", " + 1e-13, 9) AS ") for name, text in SQL.items()}

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where none is set (tests)."""
+    """The shared folder for intermediate tables; a temporary one only in local mode where none is set (tests)."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         found = sc._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         path = tempfile.mkdtemp(prefix="cairnstat-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")

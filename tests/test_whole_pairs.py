@@ -23,15 +23,15 @@ def folder(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_every_group_comes_out(spark, folder, name):
-    query = registry.QUERIES[f"{name}_whole"]
+    query = registry.QUERIES[f"{name}"]
     rows, all_groups = query(spark, folder).collect(), {f"tiny{i}" for i in range(4)}
     groups = {r["grp"] if "grp" in r else r["first"] for r in rows}
     assert groups and groups <= all_groups and (groups == all_groups or name.startswith("top_"))  # those show only what passes the FDR
-    assert_same(spark, query, registry.SQL[f"{name}_whole"], folder)
+    assert_same(spark, query, registry.SQL[f"{name}"], folder)
 
 
 def test_simes_by_loop(spark, folder):
-    got = {(r["first"], r.feature): r.p for r in registry.QUERIES["simes_combine_whole"](spark, folder).collect()}
+    got = {(r["first"], r.feature): r.p for r in registry.QUERIES["simes_combine"](spark, folder).collect()}
     for i in range(4):
         for k in range(5):
             p = sorted(((7 * i + 3 * j + 5 * k) % 40) / 400.0 for j in range(4) if j != i)

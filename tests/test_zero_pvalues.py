@@ -15,11 +15,11 @@ def test_zero_counts(spark, tmp_path):
     rows = [("t", s, f, 1.0, v, datetime.datetime(2024, 1, 1)) for (s, f), v in p.items()]
     spark.createDataFrame(rows, "first string, second string, feature string, effect double, p_value double, loaded_at timestamp").write.parquet(f"{tmp_path}/pair_stats.parquet")
     spark.createDataFrame([("a", 1), ("b", 2)], "feature string, feature_idx int").write.parquet(f"{tmp_path}/features.parquet")
-    for name in ("fisher_combine_whole", "log_bh_whole"):
+    for name in ("fisher_combine", "log_bh"):
         assert_same(spark, registry.QUERIES[name], registry.SQL[name], str(tmp_path))
-    combined = {r.feature: r.p for r in registry.QUERIES["fisher_combine_whole"](spark, str(tmp_path)).collect()}
+    combined = {r.feature: r.p for r in registry.QUERIES["fisher_combine"](spark, str(tmp_path)).collect()}
     assert combined == {"a": 0.0, "b": pytest.approx(0.2 * (1 - math.log(0.2)), abs=1e-8)}
-    kept = {(r.second, r.feature): r.log_fdr for r in registry.QUERIES["log_bh_whole"](spark, str(tmp_path)).collect()}
+    kept = {(r.second, r.feature): r.log_fdr for r in registry.QUERIES["log_bh"](spark, str(tmp_path)).collect()}
     assert kept["x", "a"] == -math.inf and kept["x", "b"] == pytest.approx(math.log(0.5), abs=1e-6)
 
 
