@@ -9,7 +9,7 @@ from cairnstat.llm.clusters import cluster_members, cluster_summary, cluster_vec
 from cairnstat.llm.fusion import fused_ranking
 from cairnstat.llm.mixing import Mixture, mix
 from cairnstat.llm.neighbors import close_pairs, nearest, unit_vectors
-from cairnstat.llm.packing import pack, packing_report
+from cairnstat.llm.packing import CAPACITY, pack, packing_report
 from cairnstat.llm.tokens import token_counts
 from cairnstat.llm.topn import top_n
 from cairnstat.llm.toxicity import score_documents, source_rates
@@ -85,6 +85,24 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cluster_obs", "size", F.round("mean_fit", 5).alias("mean_fit"), F.array_join("exemplars", " ").alias("exemplars"))
 
 
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: usable vectors, members whose cosine to their cluster's mean is below 0.75, members listed twice, clusters below 5 or not named after their smallest member."""
+    found = materialize(p5_found(spark, d))
+    x = F.col("pc")
+    sound = (F.size(x) == 64) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0)
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, e: t + e * e))
+    u = table(spark, d, "pcs").filter(sound).select("obs", F.transform(x, lambda e: e / norm(x)).alias("u")).dropDuplicates(["obs"])
+    vectors = u.count()
+    m = materialize(found.join(u, "obs"))
+    means = m.select("cluster_obs", F.posexplode("u").alias("at", "e")).groupBy("cluster_obs", "at").agg(F.avg("e").alias("e"))
+    means = means.groupBy("cluster_obs").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda p: p["e"]).alias("mean"))
+    dot = F.aggregate(F.zip_with("u", "mean", lambda a, b: a * b), F.lit(0.0), lambda t, e: t + e)
+    fit = m.join(means, "cluster_obs").select("obs", (dot / norm(F.col("mean"))).alias("cosine"))
+    members = fit.agg(F.count_if(F.col("cosine") < 0.75 - 1e-6).alias("misfits"), (F.count("*") - F.count_distinct("obs")).alias("repeated"))
+    small = found.groupBy("cluster_obs").agg(F.count("*").alias("n"), F.min("obs").alias("least")).agg(F.count_if((F.col("n") < 5) | (F.col("least") != F.col("cluster_obs"))).alias("unsound"))
+    return members.join(F.broadcast(small)).select(F.lit(vectors).cast("bigint").alias("vectors"), "misfits", "repeated", "unsound")  # one row each
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """Every document's size in tokens, counted once and kept."""
     return materialize(token_counts(table(spark, d, "documents"), "doc_id", "text", keep=["source"]))
@@ -100,6 +118,19 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(p6_packed(spark, d), "n_tokens")
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents placed or known to be empty, containers above capacity, documents split although they fit, whether under 2 % of room is unused."""
+    sizes = _sizes(spark, d)
+    packed = materialize(pack(sizes, "doc_id", "n_tokens"))
+    items = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"))
+    both = sizes.select("doc_id", "n_tokens").join(items, "doc_id")
+    a = both.agg(F.count_if(F.col("placed") == F.col("n_tokens")).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("needlessly_split"))
+    b = packed.filter("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("u")).agg(
+        F.count_if(F.col("u") > CAPACITY).alias("over_capacity"), (F.sum("u") > 0.98 * CAPACITY * F.count("*")).alias("dense")
+    )
+    return a.join(F.broadcast(b)).select("documents", "needlessly_split", "over_capacity", "dense")  # one row each
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that the packing had to split."""
     return p6_packed(spark, d).groupBy("doc_id").agg(F.count("*").alias("pieces")).filter("pieces > 1").select("doc_id")
@@ -119,6 +150,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: sources with a target, those used more often than allowed, those neither short nor within a hundredth of their due, whether shares add up to 1."""
+    m = _mixture(spark, d)
+    shares = m.shares
+    uses = m.rows.groupBy("source", "block", "doc_id", "tok_from").agg(F.count("*").alias("uses"))
+    limit = table(spark, d, "mix_targets").select(F.lower(F.trim("source")).alias("source"), F.coalesce("max_repeats", F.lit(1)).alias("most"))
+    over = uses.join(F.broadcast(limit), "source").filter("uses > most").agg(F.count_distinct("source").alias("overused"))  # a settings table
+    # what short sources lack goes to the others in proportion to their targets
+    given = shares.agg(F.sum(F.when(F.col("short"), F.col("actual_share")).otherwise(0.0)).alias("g"), F.sum(F.when(~F.col("short"), F.col("target_share")).otherwise(0.0)).alias("t"))
+    due = F.when(F.col("short"), F.col("actual_share")).otherwise(F.col("target_share") / F.col("t") * (1 - F.col("g")))
+    off = shares.join(F.broadcast(given)).agg(F.count("*").alias("sources"), F.count_if(F.abs(F.col("actual_share") - due) > 0.01).alias("off_target"), (F.abs(F.sum("actual_share") - 1) < 1e-9).alias("whole"))
+    return off.join(F.broadcast(over)).select("sources", "overused", "off_target", "whole")  # one row each
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The sources that stay below their target with all their repetitions."""
     return p7_shares(spark, d).filter("short and actual_share < target_share").select("source")
@@ -165,12 +210,16 @@ near AS (SELECT obs, neighbor, greatest(-1, least(1, s)) AS s, row_number() OVER
 QUERIES = {
     "p1_found": p1_found, "p1_top_effects": p1_top_effects, "p2_found": p2_found, "p2_ranking": p2_ranking,
     "p4_found": p4_found, "p4_neighbors": p4_neighbors,
-    "p5_found": p5_found, "p5_clusters": p5_clusters,
-    "p6_found": p6_found, "p6_packed": p6_packed, "p6_report": p6_report,
-    "p7_found": p7_found, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+    "p5_found": p5_found, "p5_clusters": p5_clusters, "p5_invariants": p5_invariants,
+    "p6_found": p6_found, "p6_invariants": p6_invariants, "p6_packed": p6_packed, "p6_report": p6_report,
+    "p7_found": p7_found, "p7_invariants": p7_invariants, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 SQL = {
+    "p5_invariants": """SELECT count(DISTINCT obs) AS vectors, 0 AS misfits, 0 AS repeated, 0 AS unsound FROM pcs
+WHERE len(pc) = 64 AND len([1 FOR x IN pc IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([1 FOR x IN pc IF x <> 0]) > 0""",
+    "p6_invariants": "SELECT count(*) AS documents, 0 AS needlessly_split, 0 AS over_capacity, true AS dense FROM documents",
+    "p7_invariants": "SELECT count(*) AS sources, 0 AS overused, 0 AS off_target, true AS whole FROM mix_targets WHERE source IS NOT NULL",
     "p1_found": f"{_P1} SELECT first, second, feature FROM r WHERE place <= {TOP_PER_GROUP}",
     "p1_top_effects": f"{_P1} SELECT first, second, feature, effect, CAST(place AS INT) AS place FROM r WHERE place <= {TOP_PER_GROUP}",
     "p4_found": f"{_P4.format(asked='true')} SELECT a.obs AS obs_a, a.neighbor AS obs_b FROM near a JOIN near b ON a.obs = b.neighbor AND a.neighbor = b.obs WHERE a.obs < a.neighbor AND a.s >= {CLOSE}",

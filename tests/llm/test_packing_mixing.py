@@ -1,6 +1,7 @@
 
 import numpy as np
 import pytest
+from oracle import assert_same
 from hypothesis import given, settings, strategies as st
 
 from cairnstat.llm import mixing, packing, queries
@@ -110,3 +111,20 @@ def test_mix_queries(spark):
     found = {r.source for r in queries.p7_found(spark, d).collect()}
     assert found == {s for s, r in shares.items() if r.short} and "oldharbor" in found
     assert abs(sum(r.actual_share for r in shares.values()) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["p6_invariants", "p7_invariants"])
+def test_invariants(spark, name):
+    assert_same(spark, queries.QUERIES[name], queries.SQL[name], "/root/testdata/sf0.01")
+
+
+def test_shards_of_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    monkeypatch.setattr(mixing, "PART_SHARDS", 4)
+    plan = [mixing.Source("a", 0.7, 2, 0, 500, 700, False), mixing.Source("b", 0.3, 1, 0, 400, 300, False)]
+    out = mixing.slots_of(spark, plan, 5).toPandas()
+    assert len(out) == 1000 and out.groupby("shard").size().max() == 16 and out.shard.nunique() == 63
+    assert dict(out.groupby("source").size()) == {"a": 700, "b": 300}
+    a = out[out.source == "a"]
+    assert a[a.epoch == 0].block.nunique() == 500 and a[a.epoch == 1].block.nunique() == 200
+    assert not out[out.source == "b"].block.duplicated().any()
