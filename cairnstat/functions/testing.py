@@ -119,17 +119,33 @@ def fisher(df: DataFrame, p: str, by: Sequence[str], out: str) -> DataFrame:
     return s.select(*by, F.when(F.col("__z") == 1, F.lit(0.0)).when(F.col("__y") <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), terms)).alias(out))
 
 
+def stouffer_many(df: DataFrame, lps: dict[str, str], by: Sequence[str], weight: str | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """(by, extra, one column per entry of ``lps``): `stouffer` of several columns, and other aggregates, in one pass.
+
+    ``lps`` maps a result's name to the column of ln p; NULL where a group has none.
+    """
+    inf = float("inf")
+    x = df.withColumn("__w", F.col(weight) if weight else F.lit(1.0))
+    aggs = list(extra)
+    for i, lp in enumerate(lps.values()):
+        x = x.withColumn(f"__z{i}", -special.quantile_log_udf(lp))
+        z, w = F.when(F.col("__w") > 0, F.col(f"__z{i}")), F.col("__w")
+        aggs += [
+            F.sum(F.when(F.abs(z) < inf, w * z)).alias(f"__s{i}"), F.sqrt(F.sum(F.when(z.isNotNull(), w * w))).alias(f"__d{i}"),
+            F.count_if(z == inf).alias(f"__up{i}"), F.count_if(z == -inf).alias(f"__dn{i}"),
+        ]
+    g = x.groupBy(*by).agg(*aggs)
+    kept = [c for c in g.columns if not c.startswith("__")]
+    for i in range(len(lps)):
+        up, down = F.col(f"__up{i}") > 0, F.col(f"__dn{i}") > 0
+        g = g.withColumn(f"__q{i}", F.when(up & down, None).when(up, inf).when(down, -inf).otherwise(F.col(f"__s{i}") / F.col(f"__d{i}")))
+    return g.select(*kept, *[special.normal_tail_udf(f"__q{i}").alias(out) for i, out in enumerate(lps)])
+
+
 def stouffer(df: DataFrame, lp: str, by: Sequence[str], out: str, weight: str | None = None) -> DataFrame:
     """(by, out): ln of the combined p, z = sum(w z) / sqrt(sum(w^2)); NULL if opposite infinities meet."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    x = df.filter(F.col(lp).isNotNull()).withColumn("__w", w).filter("__w > 0").withColumn("__z", -special.quantile_log_udf(lp))
-    inf = float("inf")
-    g = x.groupBy(*by).agg(
-        F.sum(F.when(F.abs("__z") < inf, F.col("__w") * F.col("__z"))).alias("__s"), F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__d"),
-        F.count_if(F.col("__z") == inf).alias("__up"), F.count_if(F.col("__z") == -inf).alias("__dn"),
-    )
-    z = F.when((F.col("__up") > 0) & (F.col("__dn") > 0), None).when(F.col("__up") > 0, inf).when(F.col("__dn") > 0, -inf).otherwise(F.col("__s") / F.col("__d"))
-    return g.withColumn("__q", z).select(*by, special.normal_tail_udf("__q").alias(out))
+    some = df.filter(F.col(lp).isNotNull() & ((F.col(weight) if weight else F.lit(1.0)) > 0))
+    return stouffer_many(some, {out: lp}, by, weight)
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -224,18 +224,20 @@ def _voom(counts: np.ndarray, lib: np.ndarray, design: np.ndarray) -> tuple[np.n
 
 
 def bulk_test(counts: np.ndarray, design: np.ndarray, contrast: np.ndarray, lfc: float = 0.0, method: str = "quasi") -> pd.DataFrame | None:
-    """logfc, abundance, p per feature for one label; None if the design has no rank or no residual degrees of freedom.
+    """logfc, abundance, p, se, df per feature for one label; None if the design has no rank or no residual degrees of freedom.
 
     Counts are normalised by trimmed means; precision-weighted least squares on
-    log counts ("voom"), or a negative binomial log-linear fit with a common
-    dispersion and quasi-likelihood variances ("quasi"); feature variances
-    shrink to a common prior. Features with too few counts have NaN.
+    log counts ("voom"), or a negative binomial log-linear fit with dispersions
+    that follow a trend on abundance and quasi-likelihood variances ("quasi");
+    feature variances shrink to a common prior. With one coefficient the F test
+    is the two-sided t test on df degrees of freedom. Features with too few
+    counts have NaN.
     """
     n, p = design.shape
     if n <= p or np.linalg.matrix_rank(design) < p:
         return None
     keep = _expressed(counts, design)
-    out = pd.DataFrame({"logfc": np.nan, "abundance": np.nan, "p": np.nan}, index=range(len(counts)))
+    out = pd.DataFrame({"logfc": np.nan, "abundance": np.nan, "p": np.nan}, index=range(len(counts))).assign(se=np.nan, df=np.nan)
     if not keep.any():
         return out
     c = counts[keep]
@@ -250,11 +252,10 @@ def bulk_test(counts: np.ndarray, design: np.ndarray, contrast: np.ndarray, lfc:
         logfc, unit = beta @ contrast, np.einsum("j,gjk,k->g", contrast, inv, contrast)
     else:
         off = np.log(lib / np.exp(np.log(lib).mean()))
-        disp = 0.1
+        disp = np.full((len(c), 1), 0.1)
         for _ in range(3):
             beta, mu, inv = _nb_fit(c, design, off, disp)
-            pear = ((c - mu) ** 2 - mu).sum() / (mu**2).sum() * n / df
-            disp = float(np.clip(pear, 1e-4, 10.0))
+            disp = _dispersion_trend(c, mu, n / df)
         beta, mu, inv = _nb_fit(c, design, off, disp)
         s2 = ((c - mu) ** 2 / (mu + disp * mu**2)).sum(axis=1) / df
         logfc, unit = beta @ contrast / np.log(2), np.einsum("j,gjk,k->g", contrast, inv, contrast) / np.log(2) ** 2
@@ -262,17 +263,32 @@ def bulk_test(counts: np.ndarray, design: np.ndarray, contrast: np.ndarray, lfc:
     post = np.full(len(s2), s0) if np.isinf(d0) else (d0 * s0 + df * s2) / (d0 + df)
     dft = np.full(len(s2), min(d0 + df, 1e6))
     se = np.sqrt(np.maximum(post * unit, 1e-300))
-    if lfc == 0:
-        lp = np.minimum(0.0, special.log_t_tail(np.abs(logfc) / se, dft) + special.LN2)
-    else:  # both borders of the null interval
-        a, b = special.log_t_tail((np.abs(logfc) - lfc) / se, dft), special.log_t_tail((np.abs(logfc) + lfc) / se, dft)
-        lp = np.minimum(0.0, np.logaddexp(a, b))
-    out.loc[keep, "logfc"], out.loc[keep, "p"] = logfc, np.exp(lp)
+    out.loc[keep, "logfc"], out.loc[keep, "p"], out.loc[keep, "se"], out.loc[keep, "df"] = logfc, effect_p(logfc, se, dft, lfc), se, dft
     out.loc[keep, "abundance"] = np.log2((c + 0.5) / (lib + 1) * 1e6).mean(axis=1)
     return out
 
 
-def _nb_fit(c: np.ndarray, x: np.ndarray, off: np.ndarray, disp: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def effect_p(effect: np.ndarray, se: np.ndarray, df: np.ndarray, lfc: float = 0.0) -> np.ndarray:
+    """Two-sided p of an effect against 0, or against the interval from -lfc to lfc."""
+    size = np.abs(effect)
+    if lfc == 0:
+        return np.exp(np.minimum(0.0, special.log_t_tail(size / se, df) + special.LN2))
+    return np.exp(np.minimum(0.0, np.logaddexp(special.log_t_tail((size - lfc) / se, df), special.log_t_tail((size + lfc) / se, df))))
+
+
+def _dispersion_trend(c: np.ndarray, mu: np.ndarray, ratio: float) -> np.ndarray:
+    """A dispersion per feature (a column): moment estimates, pulled onto a smooth trend over log abundance."""
+    from cairnstat.functions.fits import lowess
+
+    own = ((c - mu) ** 2 - mu).sum(axis=1) / (mu**2).sum(axis=1) * ratio
+    common = float(np.clip((((c - mu) ** 2 - mu).sum() / (mu**2).sum()) * ratio, 1e-4, 10.0))
+    if len(c) < 50:  # too few features for a trend
+        return np.full((len(c), 1), common)
+    trend = lowess(np.log(mu.mean(axis=1)), np.clip(own, -10.0, 10.0), np.ones(len(c)), span=0.5, rounds=1)
+    return np.clip(trend, 1e-4, 10.0)[:, None]
+
+
+def _nb_fit(c: np.ndarray, x: np.ndarray, off: np.ndarray, disp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Negative binomial log-linear fits of all features at once by weighted least squares."""
     mu = np.maximum(c, 0.5)
     beta = np.linalg.lstsq(x, (np.log(mu) - off).T, rcond=None)[0].T
@@ -290,17 +306,17 @@ def _nb_fit(c: np.ndarray, x: np.ndarray, off: np.ndarray, disp: float) -> tuple
 
 
 def pseudo_bulk(counts: DataFrame, design: Callable[[pd.DataFrame], np.ndarray], contrast: np.ndarray, lfc: float = 0.0, method: str = "quasi") -> DataFrame:
-    """(label, feature, logfc, abundance, p_value, fdr): each label tested on its samples.
+    """(label, feature, logfc, abundance, p_value, se, df, fdr): each label tested on its samples.
 
     ``counts`` has (label, sample, feature, value, covariates..) with one row
     per stored count; ``design`` gets one row per sample of a label, ordered by
     sample, and returns its design matrix. Labels whose design fails are left
-    out. A label's task holds features x samples of that label only.
+    out (`failed_labels` lists them). A label's task holds features x samples of that label only.
     """
     covariates = [c for c in counts.columns if c not in ("label", "sample", "feature", "value")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"label": pd.Series(dtype=str), "feature": pd.Series(dtype=str), "logfc": pd.Series(dtype=float), "abundance": pd.Series(dtype=float), "p_value": pd.Series(dtype=float)})
+        empty = pd.DataFrame({"label": pd.Series(dtype=str), "feature": pd.Series(dtype=str), "logfc": pd.Series(dtype=float), "abundance": pd.Series(dtype=float), "p_value": pd.Series(dtype=float), "se": pd.Series(dtype=float), "df": pd.Series(dtype=float)})
         samples = pdf.drop_duplicates("sample").sort_values("sample")[["sample", *covariates]].reset_index(drop=True)
         wide = pdf.pivot_table(index="feature", columns="sample", values="value", aggfunc="sum", fill_value=0.0)[samples["sample"].tolist()]
         try:
@@ -310,30 +326,44 @@ def pseudo_bulk(counts: DataFrame, design: Callable[[pd.DataFrame], np.ndarray],
         t = bulk_test(wide.to_numpy(float), x, np.asarray(contrast, float), lfc, method) if x.shape[1] == len(contrast) else None
         if t is None:
             return empty
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "feature": wide.index, "logfc": t.logfc.to_numpy(), "abundance": t.abundance.to_numpy(), "p_value": t.p.to_numpy()})
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "feature": wide.index, "logfc": t.logfc.to_numpy(), "abundance": t.abundance.to_numpy(), "p_value": t.p.to_numpy(), "se": t.se.to_numpy(), "df": t["df"].to_numpy()})
 
-    out = counts.repartition(parallelism(counts.sparkSession), "label").groupBy("label").applyInPandas(run, "label string, feature string, logfc double, abundance double, p_value double")
+    out = counts.repartition(parallelism(counts.sparkSession), "label").groupBy("label").applyInPandas(run, "label string, feature string, logfc double, abundance double, p_value double, se double, df double")
     nn = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return benjamini_hochberg(out.select("label", "feature", nn("logfc"), nn("abundance"), nn("p_value")), "p_value", ["label"], "fdr")
+    return benjamini_hochberg(out.select("label", "feature", nn("logfc"), nn("abundance"), nn("p_value"), nn("se"), nn("df")), "p_value", ["label"], "fdr")
+
 
+def failed_labels(counts: DataFrame, results: DataFrame) -> DataFrame:
+    """(label): those of ``counts`` that `pseudo_bulk` could not test."""
+    return counts.select("label").distinct().join(results.select("label").distinct(), "label", "left_anti")
 
-def pseudo_bulk_specific(results: DataFrame, average: str = "median") -> DataFrame:
+
+def pseudo_bulk_specific(results: DataFrame, average: str = "median", missing_as_zero: bool = False, lfc: float = 0.0) -> DataFrame:
     """(label, feature, logfc, other_average, p_value, fdr): effects that a label does not share with the others.
 
-    p is 1 if the effect lies between 0 and the average effect of the other
-    labels, else the larger of its p against 0 and against that average, on
-    the scale of its own standard error.
+    ``results`` comes from `pseudo_bulk`. p is 1 if the effect lies between 0
+    and the average effect of the other labels, else the larger of its p
+    against 0 and of its p against that average. An average as null effect
+    shifts the fit within the design's space, so the second test is that of
+    the shifted effect with the same standard error and degrees of freedom.
+    Missing effects of other labels are left out, or count as 0 with
+    ``missing_as_zero``; where none is left, ``other_average`` is NULL and the
+    null effect 0. Every pair of labels of a feature is met: labels are the
+    levels of a design factor.
     """
     r = materialize(results)
-    others = r.select(F.col("label").alias("__l"), "feature", F.col("logfc").alias("__o")).filter("__o is not null")
+    others = r.select(F.col("label").alias("__l"), "feature", (F.coalesce("logfc", F.lit(0.0)) if missing_as_zero else F.col("logfc")).alias("__o")).filter("__o is not null")
     agg = F.median("__o") if average == "median" else F.avg("__o")
     avg = r.select("label", "feature").join(others, "feature").filter("label <> __l").groupBy("label", "feature").agg(agg.alias("other_average"))
-    x = r.join(avg, ["label", "feature"], "left").withColumn("other_average", F.coalesce("other_average", F.lit(0.0)))
-    z = -special.quantile_log_udf(F.log(F.greatest(F.col("p_value") / 2, F.lit(1e-300))))
-    x = x.withColumn("__z", z).withColumn("__se", F.abs("logfc") / F.greatest("__z", F.lit(1e-8)))
-    x = x.withColumn("__d", F.abs(F.col("logfc") - F.col("other_average")) / F.greatest("__se", F.lit(1e-12)))
-    x = x.withColumn("__p", F.least(F.lit(1.0), 2 * F.exp(special.normal_tail_udf("__d"))))
-    between = (F.col("logfc") * F.col("other_average") > 0) & (F.abs("logfc") <= F.abs("other_average"))
+    x = r.join(avg, ["label", "feature"], "left")
+
+    @F.pandas_udf("double")
+    def against(effect: pd.Series, se: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series(effect_p(effect.to_numpy(float), se.to_numpy(float), df.to_numpy(float), lfc)).where(effect.notna().to_numpy() & se.notna().to_numpy(), None)
+
+    null = F.coalesce("other_average", F.lit(0.0))
+    x = x.withColumn("__p", against(F.col("logfc") - null, "se", "df"))
+    between = (F.signum("logfc") == F.signum(null)) & (F.abs("logfc") <= F.abs(null))
     p = F.when(F.col("p_value").isNull(), None).when(between, 1.0).otherwise(F.greatest("p_value", "__p"))
     return benjamini_hochberg(x.select("label", "feature", "logfc", "other_average", p.alias("p_value")), "p_value", ["label"], "fdr")
 

@@ -13,9 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairnstat.functions import special
-from cairnstat.functions.testing import benjamini_hochberg, kth, weighted_mean
+from cairnstat.functions.testing import benjamini_hochberg, kth, stouffer_many, weighted_mean
 from cairnstat.operators.moments import levels, moments
-from cairnstat.session import materialize
 from cairnstat.sources.assays import Assay
 
 DIRECTIONS = ("any", "up", "down")
@@ -286,17 +285,12 @@ def _combined(per_block: DataFrame, effect: str, direction: str, log: bool) -> D
     One-sided ln p-values of the valid blocks combine by weighted z-scores, the
     effect by weighted mean. Pairs without a valid block have NULLs.
     """
-    from cairnstat.functions.testing import stouffer
-
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}")
     keys = ["feature", "first", "second"]
     x = per_block.select("feature", "first", "second", effect, "weight", "valid", F.when(F.col("valid"), F.col("left")).alias("left"), F.when(F.col("valid"), F.col("right")).alias("right"))
-    x = materialize(x)  # three aggregates read it
-    left = stouffer(x, "left", keys, "left", "weight")
-    right = stouffer(x, "right", keys, "right", "weight")
-    eff = x.groupBy(*keys).agg(weighted_mean(F.when(F.col("valid"), F.col(effect)), F.col("weight")).alias(effect))
-    both = eff.join(left, keys, "left").join(right, keys, "left")
+    eff = weighted_mean(F.when(F.col("valid"), F.col(effect)), F.col("weight")).alias(effect)
+    both = stouffer_many(x, {"left": "left", "right": "right"}, keys, "weight", [eff])
     ln2 = special.LN2
     lp = {"up": F.col("right"), "down": F.col("left"), "any": F.least(F.lit(0.0), F.least("left", "right") + ln2)}[direction]
     out = both.select(*keys, F.col(effect), F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), lp).alias("log_p"))

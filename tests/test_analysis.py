@@ -148,6 +148,16 @@ def test_pseudo_bulk_planted(spark, method):
     assert sum(r.fdr is not None and r.fdr < 0.05 for k, r in got.items() if k[1] != "g0") <= 4
     s = {(r.label, r.feature): r for r in li.pseudo_bulk_specific(t).collect()}
     assert s["k1", "g0"].p_value < 0.01
+    assert [r.label for r in li.failed_labels(df, t).collect()] == ["bad"]
+    # against the other label's effect, with the effect's own standard error and degrees of freedom
+    for f in ("g1", "g2", "g7"):
+        a, b = got["k1", f], got["k2", f].logfc
+        assert s["k1", f].other_average == b
+        inside = a.logfc * b > 0 and abs(a.logfc) <= abs(b)
+        assert s["k1", f].p_value == pytest.approx(1.0 if inside else max(a.p_value, float(li.effect_p(np.array([a.logfc - b]), np.array([a.se]), np.array([a.df]))[0])))
+    assert s["k1", "rare"].other_average is None
+    zero = {(r.label, r.feature): r.other_average for r in li.pseudo_bulk_specific(t, missing_as_zero=True).collect()}
+    assert zero["k1", "rare"] == 0.0
     d = li.summarize_tests(li.decide_tests(t)).collect()
     assert all(r.missing == 1 and r.down + r.unchanged + r.up == 80 for r in d)
 
