@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cairnstat.functions.testing import bh_large, stouffer, weighted_mean
+from cairnstat.functions.testing import bh_large, stouffer_many, weighted_mean
 from cairnstat.operators.linear import residuals
 from cairnstat.operators.pairings import pairings
 from cairnstat.operators.ranks import with_rho_p
@@ -54,9 +54,13 @@ def spearman(assay: Assay, pairs=None, equal_weight: bool = True) -> DataFrame:
     o = assay.observations.filter("block is not null").groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
     blocks = o.collect()  # levels of a design factor
     sums = d.groupBy("feature", "block").agg(F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
-    # all pairs of an observation's stored features, only for those asked for
+    # products over the observations where both are stored: an explicit table of pairs leads, a pool takes what each observation holds
     a, b = d.select(F.col("feature").alias("gene1"), "block", "obs", F.col("d").alias("d1")), d.select(F.col("feature").alias("gene2"), "block", "obs", F.col("d").alias("d2"))
-    cross = a.join(b, ["block", "obs"]).join(wanted, ["gene1", "gene2"], "left_semi").groupBy("gene1", "gene2", "block").agg(F.sum(F.col("d1") * F.col("d2")).alias("c"))
+    if isinstance(pairs, DataFrame):
+        both = a.join(wanted.distinct(), "gene1").join(b, ["gene2", "block", "obs"])
+    else:
+        both = a.join(b, ["block", "obs"]).join(wanted, ["gene1", "gene2"], "left_semi")
+    cross = both.groupBy("gene1", "gene2", "block").agg(F.sum(F.col("d1") * F.col("d2")).alias("c"))
     levels = F.array(*[F.struct(F.lit(r.block).alias("block"), F.lit(r.n).cast("bigint").alias("n")) for r in blocks]) if blocks else F.array().cast("array<struct<block:string,n:bigint>>")
     x = wanted.select("gene1", "gene2", F.explode(levels).alias("__l")).select("gene1", "gene2", "__l.block", "__l.n")
     x = x.join(cross, ["gene1", "gene2", "block"], "left")
@@ -68,10 +72,9 @@ def spearman(assay: Assay, pairs=None, equal_weight: bool = True) -> DataFrame:
     x = with_rho_p(with_rho_p(x, "rho", F.col("n"), True, "up"), "rho", F.col("n"), False, "down")
     keys = ["gene1", "gene2"]
     w = F.lit(1.0) if equal_weight else F.col("n").cast("double")
-    x = materialize(x.withColumn("w", w))
-    mean = x.groupBy(*keys).agg(weighted_mean(F.col("rho"), F.col("w")).alias("rho"), F.sum("n").alias("n"))
-    p = stouffer(x, "up", keys, "up", "w").join(stouffer(x, "down", keys, "down", "w"), keys)
-    out = mean.join(p, keys, "left").select(*keys, "rho", "n", F.when(F.col("rho").isNotNull(), F.least(F.lit(1.0), 2 * F.exp(F.least("up", "down")))).alias("p_value"))
+    means = [weighted_mean(F.col("rho"), F.col("w")).alias("rho"), F.sum("n").alias("n")]
+    both = stouffer_many(x.withColumn("w", w), {"up": "up", "down": "down"}, keys, "w", means)
+    out = both.select(*keys, "rho", "n", F.when(F.col("rho").isNotNull(), F.least(F.lit(1.0), 2 * F.exp(F.least("up", "down")))).alias("p_value"))
     return bh_large(out, "p_value", "fdr")
 
 
