@@ -194,10 +194,10 @@ def density_clusters(vertices: DataFrame, edges: DataFrame, smallest: int = SMAL
         back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
         up = best.join(back, "to", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to"), "pw", "ph")
         up = materialize(_jump(_jump(up)))
-        # one that is further than 16 steps from its root waits for the next round as a component of its own
-        over = _jump(_jump(up)).withColumnRenamed("to", "far").drop("pw", "ph")
-        done = up.select(F.col("c").alias("far"), F.col("to").alias("end"))
-        up = materialize(up.drop("to").join(over, "c").join(done, "far", "left").select("c", F.when(F.col("end") == F.col("far"), F.col("far")).otherwise(F.col("c")).alias("to"), "pw", "ph"))
+        while True:  # pointers double until all end at a root, so a chain of any length falls together in one round
+            up = materialize(_jump(_jump(up)))
+            if up.join(up.filter("c = to").select("to"), "to", "left_anti").isEmpty():
+                break
         idle.append(items.join(up.select("c"), "c", "left_anti"))
         live = items.join(up, "c")
         if first:
