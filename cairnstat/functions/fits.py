@@ -6,6 +6,7 @@ small table whatever the number of observations.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,25 +37,50 @@ def inverse_density_weights(x: np.ndarray, points: int = 512) -> np.ndarray:
     return w / w.mean()
 
 
+def anchors(n: int) -> np.ndarray:
+    """Places among n sorted points at which the smoother is evaluated, at most 400; it is read off between them."""
+    return np.unique(np.round(np.linspace(0, n - 1, min(n, 400))).astype(int))
+
+
+def _reach(xs: np.ndarray, cum: np.ndarray, i: int, need: float) -> float:
+    """Smallest distance from sorted point i within which the points weigh ``need``; cum starts at 0."""
+    x = xs[i]
+
+    def enough(r: float) -> bool:
+        r += 1e-12 * (abs(x) + r)  # the point at this very distance counts, however x + r is rounded
+        return cum[np.searchsorted(xs, x + r, side="right")] - cum[np.searchsorted(xs, x - r, side="left")] >= need
+
+    best = max(x - xs[0], xs[-1] - x)
+    for side, sign in ((xs[i:], 1), (xs[: i + 1][::-1], -1)):  # distances on a side grow with the place
+        lo, hi = 0, len(side) - 1
+        if not enough(sign * (side[hi] - x)):
+            continue
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if enough(sign * (side[mid] - x)) else (mid + 1, hi)
+        best = min(best, sign * (side[lo] - x))
+    return best
+
+
 def lowess(x: np.ndarray, y: np.ndarray, w: np.ndarray, span: float = 0.3, rounds: int = 4) -> np.ndarray:
     """Robust local linear fit with tricube weights; the neighbourhood holds ``span`` of the total weight."""
     order = np.argsort(x, kind="stable")
     xs, ys, ws = x[order], y[order], w[order]
-    need = span * ws.sum()
-    # the smoother is evaluated on at most 400 points and read off between them
-    at = np.unique(np.round(np.linspace(0, len(xs) - 1, min(len(xs), 400))).astype(int))
-    near = []  # per point: its neighbourhood, a run of the sorted points, and tricube weights in it
+    cum = np.concatenate([[0.0], np.cumsum(ws)])
+    need = span * cum[-1] * (1 - 1e-12)
+    at = anchors(len(xs))
+    near = []  # per point: its neighbourhood, a run of the sorted points
     for i in at:
-        d = np.abs(xs - xs[i])
-        order_d = np.argsort(d, kind="stable")
-        reach = max(d[order_d[min(int(np.searchsorted(np.cumsum(ws[order_d]), need)), len(xs) - 1)]], 1e-8)
-        lo, hi = np.searchsorted(xs, xs[i] - reach, side="left"), np.searchsorted(xs, xs[i] + reach, side="right")
-        near.append((lo, hi, np.clip(1 - (d[lo:hi] / reach) ** 3, 0, None) ** 3 * ws[lo:hi]))
+        reach = max(_reach(xs, cum, i, need), 1e-8)
+        near.append((reach, np.searchsorted(xs, xs[i] - reach, side="left"), np.searchsorted(xs, xs[i] + reach, side="right")))
     robust, fit = np.ones(len(xs)), ys
     for _ in range(rounds):
         out = np.empty(len(at))
-        for k, (lo, hi, base) in enumerate(near):
-            t, u, v = base * robust[lo:hi], xs[lo:hi], ys[lo:hi]
+        for k, (reach, lo, hi) in enumerate(near):
+            u, v = xs[lo:hi], ys[lo:hi]
+            far = np.abs(u - xs[at[k]]) / reach
+            near_by = np.clip(1 - far * far * far, 0, None)  # made anew each round: 400 of these are larger than the table
+            t = near_by * near_by * near_by * ws[lo:hi] * robust[lo:hi]
             total = t.sum()
             if total <= 0:
                 out[k] = ys[at[k]]
@@ -136,13 +162,16 @@ def _hill_start(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Slope from the lowest means, then the best of a grid of half-points and powers."""
     low = np.argsort(x)[: max(1, min(100, int(0.1 * len(x))))]
     slope = max((x[low] * y[low]).sum() / (x[low] ** 2).sum(), 1e-8)
+    losses = {}
+    for n in 2.0 ** np.linspace(0, 10, 10):
+        with np.errstate(all="ignore"):
+            power = x**n
+            for b in 2.0 ** np.linspace(-5, 5, 10):
+                losses[b, n] = ((y - slope * b * x / (power + b)) ** 2).sum()
     best, found = np.inf, None
-    for b in 2.0 ** np.linspace(-5, 5, 10):
-        for n in 2.0 ** np.linspace(0, 10, 10):
-            with np.errstate(all="ignore"):
-                loss = ((y - slope * b * x / (x**n + b)) ** 2).sum()
-            if loss < best:
-                best, found = loss, (b, n)
+    for b, n in sorted(losses):
+        if losses[b, n] < best:
+            best, found = losses[b, n], (b, n)
     b, n = found if found else (1.0, 2.0)
     return np.array([np.log(slope * b), np.log(b), np.log(max(n - 1.0, 1e-3))])
 
@@ -155,15 +184,28 @@ def _finish(kind: str, params, x, y, w, knots=np.zeros(0), heights=np.zeros(0))
     return Trend(kind, np.asarray(params, float), knots, heights, m, sd)
 
 
+def _fitted(x: np.ndarray, usable: np.ndarray, above: np.ndarray, least: int) -> np.ndarray:
+    """Features a trend is fitted to: usable ones ``above`` the least mean; all usable ones of positive mean where fewer than ``least`` are.
+
+    Means fall as observations without a feature are added, so in a sparse
+    table no feature need reach a fixed mean; its features still have a trend.
+    """
+    ok, every = usable & above, usable & (x > 0)
+    if ok.sum() >= least or every.sum() <= ok.sum():
+        return ok
+    warnings.warn(f"{int(ok.sum())} features reach the least mean: the trend is fitted to all {int(every.sum())}", stacklevel=3)
+    return every
+
+
 def fit_trend_var(means, variances, min_mean: float = 0.1, parametric: bool = True, smooth: bool = True, density_weights: bool = True) -> Trend:
     """Trend of log-value variance on the mean: a curve that rises linearly from 0 and falls off, then a robust smoother on the log ratio."""
     x, y = np.asarray(means, float), np.asarray(variances, float)
+    if not parametric and not smooth:
+        raise ValueError("a trend must be parametric or smooth")
     ok = np.isfinite(x) & np.isfinite(y) & (y > 1e-8) & (x >= min_mean)
     x, y = x[ok], y[ok]
     if len(x) < 2:
         raise ValueError("at least 2 features are needed for a trend")
-    if not parametric and not smooth:
-        raise ValueError("a trend must be parametric or smooth")
     w = inverse_density_weights(x) if density_weights else np.ones(len(x))
     if parametric:
         if len(x) <= 3:
@@ -179,14 +221,15 @@ def fit_trend_var(means, variances, min_mean: float = 0.1, parametric: bool = Tr
         return _finish(kind, params, x, y, w)
     ratio = np.log(y) - np.log(np.maximum(Trend(kind, params)(x), 1e-300))
     fit = lowess(x, ratio, w)
-    knots, first = np.unique(x, return_index=True)
-    return _finish(kind, params, x, y, w, knots, fit[first])
+    order = np.argsort(x, kind="stable")[anchors(len(x))]  # between these the fit is a straight line
+    knots, first = np.unique(x[order], return_index=True)
+    return _finish(kind, params, x, y, w, knots, fit[order][first])
 
 
 def fit_trend_cv2(means, cv2, n_obs: int, min_mean: float = 0.1, nmads: float = 6.0, rounds: int = 50) -> Trend:
     """Trend A + B / mean of the squared coefficient of variation, outliers weighted down between rounds."""
     x, y = np.asarray(means, float), np.asarray(cv2, float)
-    ok = np.isfinite(x) & np.isfinite(y) & (y > 0) & (y < n_obs - 1e-8) & (x > min_mean)
+    ok = _fitted(x, np.isfinite(x) & np.isfinite(y) & (y > 0) & (y < n_obs - 1e-8), x > min_mean, 2)
     x, y = x[ok], y[ok]
     if len(x) < 2:
         raise ValueError("at least 2 features are needed for a trend")

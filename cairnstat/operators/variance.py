@@ -67,7 +67,7 @@ def combine_blocks(per_block: DataFrame, fields: Sequence[str], by: str = "block
 
 def _fit_points(stats: DataFrame, value: str) -> pd.DataFrame:
     """One row per feature of a block: what a trend is fitted to."""
-    return stats.filter(F.col(value).isNotNull()).select("feature", "mean", value).orderBy("mean", "feature").toPandas()
+    return stats.filter(F.col(value).isNotNull()).orderBy("mean", "feature").select("mean", value).toArrow().to_pandas()
 
 
 def _blocks(stats: DataFrame) -> list[str]:
