@@ -202,7 +202,7 @@ def fit_trend_var(means, variances, min_mean: float = 0.1, parametric: bool = Tr
     x, y = np.asarray(means, float), np.asarray(variances, float)
     if not parametric and not smooth:
         raise ValueError("a trend must be parametric or smooth")
-    ok = np.isfinite(x) & np.isfinite(y) & (y > 1e-8) & (x >= min_mean)
+    ok = _fitted(x, np.isfinite(x) & np.isfinite(y) & (y > 1e-8), x >= min_mean, 4 if parametric else 2)
     x, y = x[ok], y[ok]
     if len(x) < 2:
         raise ValueError("at least 2 features are needed for a trend")

@@ -14,6 +14,16 @@ def sparse():
     return m, rng.gamma(20, 1 / 20, 400)
 
 
+def test_variance_trend_below_the_least_mean():
+    m, noise = sparse()
+    with pytest.warns(UserWarning, match="all 400"):
+        t = fits.fit_trend_var(m, 3 * m * noise)
+    at = np.linspace(0.01, 0.07, 20)
+    assert np.abs(np.log(t(at) / (3 * at))).max() < 0.3 and np.isfinite(t.std_dev)
+    with_high = fits.fit_trend_var(np.append(m, [1.0, 2, 3, 4, 5]), np.append(3 * m * noise, [1.0, 2, 3, 4, 5]))
+    assert with_high.knots.min() == 1.0  # where enough features reach it, the least mean holds
+
+
 def test_cv2_trend_below_the_least_mean():
     m, noise = sparse()
     with pytest.warns(UserWarning, match="all 400"):
@@ -26,7 +36,7 @@ def test_queries_on_a_sparse_table(spark):
     rng = np.random.default_rng(6)
     x = np.where(rng.random((60, 900)) < 0.01, rng.poisson(3, (60, 900)) + 1.0, 0.0)
     a = make(spark, x, ["g"] * 900, [str(b) for b in rng.choice(list("xy"), 900)])
-    for m in (va.model_cv2(a), va.model_cv2(a, a)):
+    for m in (va.model_var(a.normalized()), va.model_var_spikes(a, a), va.model_cv2(a), va.model_cv2(a, a)):
         rows = m.collect()
         assert len(rows) == 60 and all(r.p_value is not None and len(r.per_block) == 2 for r in rows)
 
